@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 
 import numpy as np
 
@@ -24,8 +25,8 @@ class Encoder:
 
     A byte-level tokenizer cuts a text before every space that follows no space and at single line
     ends, so there the ids of a word with its space don't depend on what surrounds it. Those are looked
-    up in a bounded table and only words that it lacks go to the library. Texts with white
-    space in a row go to the library whole, as do all texts of other kinds of tokenizers.
+    up in bounded tables and only words that they lack go to the library, many in one text.
+    Texts with white space in a row go to the library whole, as do all texts of other kinds of tokenizers.
     """
 
     _runs = re.compile(r"[ \n](?:\s|\Z)").search
@@ -41,23 +42,60 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        # words after a space and at the start of a line; of each, the table in use and the one before it
+        self.tables: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {" ": ({}, {}), "\n": ({}, {})}
+        self.tails: dict[str, bytes] = {}
         self.line_end = self._library(["\n"])[0]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, table: dict[str, bytes], words: set[str], prefix: str) -> None:
-        new = [w for w in words if w not in table]
-        table.update(zip(new, self._library([prefix + w for w in new])))
+    def _letters(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words of letters only, each after a space or a line end, from one text."""
+        enc = self.tok.encode(before + before.join(words), add_special_tokens=False)
+        ids, part = np.array(enc.ids, "<u4").tobytes(), np.array(enc.word_ids)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        step = 1 if before == " " else 2  # a line end is a part of its own
+        if len(cuts) - 1 != step * len(words):
+            return self._library([before.strip("\n") + w for w in words])
+        return [ids[4 * cuts[i] : 4 * cuts[i + 1]] for i in range(step - 1, len(cuts) - 1, step)]
+
+    def _learn(self, words: set[str], before: str) -> dict[str, bytes]:
+        table, old = self.tables[before]
+        if len(table) > MEMO_ENTRIES:
+            table, old = {}, table
+            self.tables[before] = table, old
+        ends, plain, odd = {}, {}, []
+        for w in words:
+            if w in table:
+                continue
+            if w in old:
+                table[w] = old[w]
+                continue
+            core = w.rstrip(string.punctuation)
+            if not core.isalpha():
+                odd.append(w)
+            else:
+                if len(core) < len(w):
+                    ends[w] = core
+                if core not in table:
+                    plain[core] = None
+        new = list(plain)
+        for i in range(0, len(new), 4000):
+            table.update(zip(new[i : i + 4000], self._letters(new[i : i + 4000], before)))
+        for w, core in ends.items():
+            tail = w[len(core) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._library([tail])[0]
+            table[w] = table[core] + self.tails[tail]
+        table.update(zip(odd, self._library([before.strip("\n") + w for w in odd])))
+        return table
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        whole, lines, heads, tails = [], {}, set(), set()
-        for table in (self.known, self.first):
-            if len(table) > MEMO_ENTRIES:
-                table.clear()
+        whole, lines, heads, rest = [], {}, set(), set()
         for i, text in enumerate(texts):
             if not text:
                 out[i] = b""
@@ -67,21 +105,20 @@ class Encoder:
                 lines[i] = cut = [line.split(" ") for line in text.split("\n")]
                 for ws in cut:
                     heads.add(ws[0])
-                    tails.update(ws)
-        self._learn(self.first, heads, "")
-        self._learn(self.known, tails, " ")
-        find = self.known.__getitem__
+                    rest.update(ws)
+        first, known = self._learn(heads, "\n"), self._learn(rest, " ")
+        find = known.__getitem__
         for i, cut in lines.items():
             parts: list[bytes] = []
             for ws in cut:
-                parts.append(self.first[ws[0]])
+                parts.append(first[ws[0]])
                 parts.extend(map(find, ws[1:]))
                 parts.append(self.line_end)
             parts.pop()
             out[i] = b"".join(parts)
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
-        for table, words in ((self.known, tails), (self.first, heads)):
+        for table, words in ((known, rest), (first, heads)):
             for w in [w for w in words if len(w) > 60]:
                 table.pop(w, None)
         return out
