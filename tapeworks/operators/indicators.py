@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_BAR = Window.partitionBy("mint").orderBy("bar_start")
+
+def by_bar() -> Window:
+    return Window.partitionBy("mint").orderBy("bar_start")
 
 
 def bollinger(bars: DataFrame, length: int, width: float, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Position in the bands (bbp), their width (bbb) and signal; null until `length` bars. Population deviation."""
-    w = BY_BAR.rowsBetween(1 - length, 0)
+    w = by_bar().rowsBetween(1 - length, 0)
     full = F.count("close").over(w) == length
     mid, dev = F.avg("close").over(w), F.stddev_pop("close").over(w)
     rows = bars.withColumns({"mid": F.when(full, mid), "_d": F.when(full, dev) * width})

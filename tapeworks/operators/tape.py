@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("mint").orderBy("t")
+
+def by_time() -> Window:
+    return Window.partitionBy("mint").orderBy("t")
 
 
 def bars(tape: DataFrame, seconds: float, tail: float = 10) -> DataFrame:
@@ -55,7 +57,7 @@ def short_trend(tape: DataFrame, low: float, high: float, ends: int = 3, least:
 
 def confirmed(tape: DataFrame, seconds: int, share: float = 0.8, least: int = 3) -> DataFrame:
     """Whether at least `least` swaps within `seconds` (itself included) trade at `share` of the price or more."""
-    near = F.collect_list("price").over(BY_TIME.rangeBetween(-seconds, seconds))
+    near = F.collect_list("price").over(by_time().rangeBetween(-seconds, seconds))
     return tape.withColumn("_near", near).withColumn("confirmed", F.size(F.filter("_near", lambda x: x >= share * F.col("price"))) >= least).drop("_near")
 
 
@@ -66,13 +68,13 @@ def branching(tape: DataFrame, seconds: int) -> DataFrame:
 
 
 def log_returns(tape: DataFrame) -> DataFrame:
-    return tape.withColumn("log_return", F.ln(F.try_divide("price", F.lag("price").over(BY_TIME))))
+    return tape.withColumn("log_return", F.ln(F.try_divide("price", F.lag("price").over(by_time()))))
 
 
 def impact(tape: DataFrame, floor: float = 0.01, least: int = 10) -> DataFrame:
     """Kyle's lambda proxy and Roll's spread per mint."""
-    rows = tape.withColumn("_d", F.col("price") - F.lag("price").over(BY_TIME)).withColumn("_l", F.abs(F.ln(F.try_divide("price", F.lag("price").over(BY_TIME)))) / F.greatest("volume", F.lit(floor)))
-    rows = rows.withColumn("_e", F.lag("_d").over(BY_TIME))
+    rows = tape.withColumn("_d", F.col("price") - F.lag("price").over(by_time())).withColumn("_l", F.abs(F.ln(F.try_divide("price", F.lag("price").over(by_time())))) / F.greatest("volume", F.lit(floor)))
+    rows = rows.withColumn("_e", F.lag("_d").over(by_time()))
     cov = F.covar_samp("_d", "_e")
     return rows.groupBy("mint").agg(F.when(F.count("*") >= least, F.median("_l")).alias("kyle_lambda"), F.when(cov < 0, 2 * F.sqrt(-cov)).otherwise(0.0).alias("roll_spread"))
 
@@ -99,7 +101,7 @@ def flow(tape: DataFrame) -> DataFrame:
 
 def streaks(tape: DataFrame) -> DataFrame:
     """Longest run of sells, changes of side, fall of the last price from the highest."""
-    rows = tape.withColumns({"_isle": F.sum("is_buy").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)), "_was": F.lag("is_buy").over(BY_TIME)})
+    rows = tape.withColumns({"_isle": F.sum("is_buy").over(by_time().rowsBetween(Window.unboundedPreceding, 0)), "_was": F.lag("is_buy").over(by_time())})
     runs = rows.groupBy("mint", "_isle").agg(F.count_if(F.col("is_buy") == 0).alias("_run")).groupBy("mint").agg(F.max("_run").alias("sell_streak"))
     rest = rows.groupBy("mint").agg(F.count_if(F.col("is_buy") != F.col("_was")).alias("switches"), (F.max_by("price", "t") / F.max("price") - 1).alias("drawdown"))
     return runs.join(rest, "mint")
