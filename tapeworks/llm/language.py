@@ -11,13 +11,12 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 from .words import MEMO_ENTRIES
 
 #: Training documents of each language, about: rows with the least hashes of their text and id.
@@ -30,39 +29,43 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SURE_WORDS = 30
 
 
-def grams(word: str, n: int) -> list[str]:
-    marked = f" {word} "
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
-
-
 class Model:
-    """Log frequencies of words and n-grams in each language (rows in the order of `languages`)."""
+    """Log frequencies of words and n-grams in each language (columns in the order of `languages`)."""
 
     def __init__(self, counts: list[tuple[str, int, str, int]]):
         """counts: language, length of the n-gram (0: word), item, times."""
         self.id = uuid.uuid4().hex
         self.languages = sorted({c[0] for c in counts})
         at = {lang: i for i, lang in enumerate(self.languages)}
-        totals: dict[int, np.ndarray] = {}
-        times: dict[tuple[int, str], np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        kind, times = [], []
         for lang, n, item, k in counts:
-            totals.setdefault(n, np.zeros(len(at)))[at[lang]] += k
-            times.setdefault((n, item), np.zeros(len(at)))[at[lang]] += k
-        sizes = Counter(n for n, _ in times)
-        self.logs = {key: np.log((k + 0.1) / (totals[key[0]] + 0.1 * sizes[key[0]])).astype(np.float32) for key, k in times.items()}
+            table = self.grams if n else self.words
+            if (row := table.get(item)) is None:
+                row = table[item] = len(kind)
+                kind.append(n)
+            times.append((row, at[lang], k))
+        log = np.full((len(kind), len(at)), 0.1)
+        if times:
+            row, column, k = (np.array(c) for c in zip(*times))
+            np.add.at(log, (row, column), k)
+        kind = np.array(kind, np.int64)
+        for n in range(NGRAM + 1):
+            log[kind == n] /= log[kind == n].sum(axis=0)
+        self.logs = np.log(log).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
         """Log score of a word in each language."""
-        if (known := self.logs.get((0, word))) is not None:
-            return known
-        total, places = np.zeros(len(self.languages), np.float32), 0
+        if (known := self.words.get(word)) is not None:
+            return self.logs[known]
+        rows, marked, find = [], f" {word} ", self.grams.get
         for i in range(len(word) + 1):
-            for n in range(NGRAM, 0, -1):
-                gram = f" {word} "[i : i + n]
-                if len(gram) == n and (log_ := self.logs.get((n, gram))) is not None:
-                    total, places = total + log_, places + 1
+            for n in range(min(NGRAM, len(marked) - i), 0, -1):
+                if (row := find(marked[i : i + n])) is not None:
+                    rows.append(row)
                     break
-        return total / max(1, places)
+        return self.logs[rows].mean(axis=0) if rows else np.zeros(len(self.languages), np.float32)
 
 
 class Scorer:
@@ -124,20 +127,22 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mode
     taken = rows.where((F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            counts: Counter = Counter()
+        for batch in slices(batches):
+            counts: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word, k in Counter(LETTERS.findall(text.lower())).items():
-                    counts[lang, 0, word] += k
-                    for n in range(1, NGRAM + 1):
-                        for gram in grams(word, n):
-                            counts[lang, n, gram] += k
-            if counts:
-                lang, n, item = zip(*counts)
-                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(n, pa.int32()), pa.array(item), pa.array(counts.values(), pa.int64())], ["lang", "n", "item", "times"])
-
-    counted = taken.mapInArrow(run, "lang string, n int, item string, times long").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
-    return Model([tuple(r) for r in counted.where(F.col("times") >= LEAST).collect()])
+                counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            for lang, own in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["lang", "item", "times"])
+
+    words = taken.mapInArrow(run, "lang string, item string, times long").groupBy("lang", "item").agg(F.sum("times").alias("times"))
+    words = materialize(words, "words")
+    # the n-grams of the distinct words, as often as the words occur
+    marked = words.select("lang", F.concat(F.lit(" "), "item", F.lit(" ")).alias("m"), "times")
+    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(NGRAM), F.length("m")))).alias("n")
+    cut = F.explode(F.transform(F.sequence(F.lit(1), F.length("m") - F.col("n") + 1), lambda i: F.substr("m", i, F.col("n")))).alias("item")
+    grams = marked.select("lang", "m", lengths, "times").select("lang", "n", cut, "times").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
+    counted = words.select("lang", F.lit(0).alias("n"), "item", "times").union(grams).where(F.col("times") >= LEAST)
+    return Model([tuple(r) for r in counted.collect()])  # bounded by the sample
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
