@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import spark_rows, sql_rows
+from compare import same, spark_rows, sql_rows
 from helpers import SF
 
 from tapeworks.llm import registry
@@ -11,7 +11,7 @@ from tapeworks.llm import registry
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(spark, name):
-    assert spark_rows(registry.QUERIES[name](spark, SF)) == sql_rows(registry.ORACLES[name], SF)
+    assert same(spark_rows(registry.QUERIES[name](spark, SF)), sql_rows(registry.ORACLES[name], SF))
 
 
 def test_one_query_for_each_operator():
