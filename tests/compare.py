@@ -22,7 +22,16 @@ def plain(x):
 
 def rows(columns: list[str], found) -> list[tuple]:
     order = sorted(range(len(columns)), key=columns.__getitem__)
-    return sorted((tuple(plain(r[i]) for i in order) for r in found), key=repr)
+    return sorted((tuple(plain(r[i]) for i in order) for r in found), key=lambda r: repr([float(f"{x:.4g}") if isinstance(x, float) else x for x in r]))
+
+
+def same(a, b) -> bool:
+    """Equal but for the last digit that either side's rounding of a sum can change."""
+    if isinstance(a, float) and isinstance(b, float):
+        return math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6)
+    if isinstance(a, (list, tuple)) and isinstance(b, (list, tuple)):
+        return len(a) == len(b) and all(map(same, a, b))
+    return a == b
 
 
 def spark_rows(df) -> tuple[list[str], list[tuple]]:

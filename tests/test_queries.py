@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import plain, spark_rows, sql_rows
+from compare import plain, same, spark_rows, sql_rows
 
 from tapeworks.plans import registry
 
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(spark, name):
-    assert spark_rows(registry.QUERIES[name](spark, SF)) == sql_rows(registry.ORACLES[name], SF)
+    assert same(spark_rows(registry.QUERIES[name](spark, SF)), sql_rows(registry.ORACLES[name], SF))
 
 
 def test_names():
