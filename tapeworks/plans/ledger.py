@@ -46,9 +46,9 @@ def page_keyset(spark, d):
     return filters.newest(filters.before(v.orders(spark, d), ["amount", "client_order_id"], (200000.0, 5000)), ["amount", "client_order_id"], 30).select("client_order_id", "amount")
 
 
-@query("text_search", "select p_partkey, p_name from part where contains(lower(p_name), 'part#1') or contains(lower(p_brand), 'part#1')")
+@query("text_search", "select p_partkey, p_name from part where contains(lower(p_name), 'red') or contains(lower(p_brand), 'red')")
 def text_search(spark, d):
-    return filters.any_text(v.table(spark, d, "part"), "PART#1", ["p_name", "p_brand"]).select("p_partkey", "p_name")
+    return filters.any_text(v.table(spark, d, "part"), "RED", ["p_name", "p_brand"]).select("p_partkey", "p_name")
 
 
 @query("orders_summary", f"with {v.ORDERS} select account, count(*) total, count(*) filter (status = 'FILLED') filled, count(*) filter (status in ('OPEN', 'PARTIALLY_FILLED')) active, count(*) filter (status = 'FILLED') / count(*) fill_rate from orders_v group by account")
