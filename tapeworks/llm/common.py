@@ -14,6 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _fallback: dict[str, str] = {}
+_release: dict[str, Callable[[], None]] = {}
+_owner: list[str] = [""]
+
+
+def keeps(owner: str, release: Callable[[], None]) -> None:
+    """Register what empties the lookup tables that a Python worker keeps for an operator."""
+    _release[owner] = release
+
+
+def claim(owner: str) -> None:
+    """Called in a Python worker by an operator at work: workers outlive stages, so the others' tables go."""
+    if _owner[0] != owner:
+        _owner[0] = owner
+        for name, release in _release.items():
+            if name != owner:
+                release()
 
 
 def shared_dir(spark: SparkSession) -> str:

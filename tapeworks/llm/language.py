@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import claim, keeps, materialize, slices
 from .words import MEMO_ENTRIES
 
 #: Training documents of each language, about: rows with the least hashes of their text and id.
@@ -99,9 +99,11 @@ class Scorer:
 
 
 _scorers: dict[str, Scorer] = {}
+keeps("language", _scorers.clear)
 
 
 def scorer(model: Model) -> Scorer:
+    claim("language")
     if model.id not in _scorers:
         _scorers.clear()
         _scorers[model.id] = Scorer(model)

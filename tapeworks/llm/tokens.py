@@ -9,9 +9,11 @@ import string
 
 import numpy as np
 
+from .common import claim, keeps
 from .words import MEMO_ENTRIES
 
 _loaded: dict[str, Encoder] = {}
+keeps("tokens", _loaded.clear)
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
@@ -126,6 +128,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder of a file, kept by each Python worker."""
+    claim("tokens")
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]

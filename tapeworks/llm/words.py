@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import claim, keeps
+
 #: Lower-cases A-Z; 0-9, a-z and all bytes of non-ASCII characters stay; the rest separates words.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -28,6 +30,7 @@ class Memo(dict):
 
 
 _hash = Memo(xxhash.xxh64_intdigest)
+keeps("words", _hash.clear)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(31)
 
@@ -42,6 +45,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_hashes(ws: list[bytes]) -> np.ndarray:
+    claim("words")
     return np.fromiter(map(_hash.__getitem__, ws), np.uint64, len(ws))
 
 
