@@ -36,10 +36,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            rows = []
-            for ids in enc.encode(batch.column(1).to_pylist()):
-                ids = np.frombuffer(ids + end, "<u4")
-                data, starts = pfor.write(ids, percentile)
+            rows, texts = [], [np.frombuffer(ids + end, "<u4") for ids in enc.encode(batch.column(1).to_pylist())]
+            for ids, (data, starts) in zip(texts, pfor.write_many(texts, percentile)):
                 rows.append((at, len(ids), starts, data))
                 at += len(ids)
             a, n, s, d = zip(*rows)
@@ -68,7 +66,7 @@ def read_ids(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            ids = [pfor.read(d, s) for s, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            ids = list(pfor.read_many(list(zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     return files.select("doc_id", "block_starts", "blocks").mapInArrow(run, "doc_id long, ids array<bigint>")
@@ -79,7 +77,7 @@ def digests(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = [pfor.read(d, s) for s, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            ids = list(pfor.read_many(list(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],

@@ -12,6 +12,9 @@ import numpy as np
 from .common import claim, keeps
 from .words import MEMO_ENTRIES
 
+#: Longer words aren't kept after their batch.
+LONGEST = 60
+
 _loaded: dict[str, Encoder] = {}
 keeps("tokens", _loaded.clear)
 
@@ -62,26 +65,28 @@ class Encoder:
             return self._library([before.strip("\n") + w for w in words])
         return [ids[4 * cuts[i] : 4 * cuts[i + 1]] for i in range(step - 1, len(cuts) - 1, step)]
 
-    def _learn(self, words: set[str], before: str) -> dict[str, bytes]:
+    def _learn(self, words: set[str], before: str) -> tuple[dict[str, bytes], list[str]]:
+        """The table with all these words, and which of them are too long to be kept in it."""
         table, old = self.tables[before]
         if len(table) > MEMO_ENTRIES:
             table, old = {}, table
             self.tables[before] = table, old
-        ends, plain, odd = {}, {}, []
-        for w in words:
-            if w in table:
-                continue
-            if w in old:
-                table[w] = old[w]
-                continue
+        new = words.difference(table)
+        if old:
+            again = [w for w in new if w in old]
+            table.update((w, old[w]) for w in again)
+            new.difference_update(again)
+        plain = set(filter(str.isalpha, new))
+        ends, odd = {}, []
+        for w in new.difference(plain):
             core = w.rstrip(string.punctuation)
-            if not core.isalpha():
-                odd.append(w)
-            else:
-                if len(core) < len(w):
-                    ends[w] = core
+            if core.isalpha():
+                ends[w] = core
                 if core not in table:
-                    plain[core] = None
+                    plain.add(core)
+            else:
+                odd.append(w)
+        long = [w for w in [*new, *plain] if len(w) > LONGEST]
         new = list(plain)
         for i in range(0, len(new), 4000):
             table.update(zip(new[i : i + 4000], self._letters(new[i : i + 4000], before)))
@@ -93,7 +98,7 @@ class Encoder:
                 self.tails[tail] = self._library([tail])[0]
             table[w] = table[core] + self.tails[tail]
         table.update(zip(odd, self._library([before.strip("\n") + w for w in odd])))
-        return table
+        return table, long
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -108,7 +113,7 @@ class Encoder:
                 for ws in cut:
                     heads.add(ws[0])
                     rest.update(ws)
-        first, known = self._learn(heads, "\n"), self._learn(rest, " ")
+        (first, long_heads), (known, long_rest) = self._learn(heads, "\n"), self._learn(rest, " ")
         find = known.__getitem__
         for i, cut in lines.items():
             parts: list[bytes] = []
@@ -120,8 +125,8 @@ class Encoder:
             out[i] = b"".join(parts)
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
-        for table, words in ((known, rest), (first, heads)):
-            for w in [w for w in words if len(w) > 60]:
+        for table, long in ((known, long_rest), (first, long_heads)):
+            for w in long:
                 table.pop(w, None)
         return out
 
