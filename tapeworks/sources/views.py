@@ -60,7 +60,12 @@ STATES = ORDERS + """, states_v as (select created_at ts, account, 'N' || (natio
 
 
 def swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return swaps_of(table(spark, sf_dir, "events"))
+
+
+def swaps_of(events: DataFrame) -> DataFrame:
+    """Swaps of a table or stream of events."""
+    return events.select(
         (F.col("user_id") % 10).alias("mint"), F.col("user_id").alias("trader"), F.col("event_type").isin("click", "view", "purchase").cast("int").alias("is_buy"),
         F.col("value").alias("volume"), (1 + (F.col("event_id") * 7919 % 1000) / 1000).alias("price"), epoch("ts").alias("t"),
     )
