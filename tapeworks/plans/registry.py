@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import ledger, live, market  # noqa: E402, F401  they register their queries
+from . import ledger, live, market, panels  # noqa: E402, F401  they register their queries
