@@ -3,8 +3,9 @@
 The standard-library parser's events are cut into lines at block elements. Each line has a ratio of
 text characters to tags; the ratios are smoothed along the page by a Gaussian, and lines above
 the threshold between the two clusters of ratios form the content regions. The regions elect the
-page's content element: the article (or main, or else the smallest element) that holds most of their text. All lines
-in that element are the result, so short paragraphs in it stay, except those in menus, adverts
+page's content elements: all articles that hold some, and each main that holds more than its articles do; if
+these have less than most of the regions' text, the smallest element that holds all regions. All lines
+in the elected elements are the result, so short paragraphs in them stay, except those in menus, adverts
 and other furniture, which never are lines.
 """
 
@@ -34,7 +35,7 @@ MAIN = ("article", "main")
 #: Elements that an unclosed <p> or list item ends at.
 ENDS_P = frozenset("p div section article main ul ol dl table blockquote pre h1 h2 h3 h4 h5 h6 hr header footer nav aside form figure address fieldset".split())
 SIGMA = 1.0
-#: Share of the regions' text that the elected element holds.
+#: Share of the regions' text that articles and mains must hold to be elected.
 ELECTED = 0.6
 _CUT = re.compile(r"<(?:[A-Za-z!/?][^<>]*)?\Z")
 _NAME = re.compile(r"[a-z0-9]+")
@@ -149,10 +150,9 @@ def main_text(html: str | None) -> str:
     if not html or not html.strip():
         return ""
     parser = Lines()
-    cut = html.rfind("<!--")
-    if cut >= 0 and "-->" not in html[cut:]:
-        html = html[:cut]
     parser.feed(_CUT.sub("", html))
+    if parser.rawdata.startswith("<!--"):  # left over: a comment that the page's end cuts off
+        parser.rawdata = ""
     parser.close()
     parser.end_line()
     lines = parser.lines
@@ -165,13 +165,17 @@ def main_text(html: str | None) -> str:
         for n in lines[i][2]:
             weight[n] = weight.get(n, 0) + len(lines[i][0])
     total = weight[0]
-    for name in MAIN:
-        if named := [n for n in weight if parser.names[n] == name]:
-            elected = max(named, key=lambda n: (weight[n], -n))
-            break
-    else:
-        elected = max(n for n, w in weight.items() if w >= ELECTED * total and parser.names[n] not in INLINE and parser.names[n] not in ENDS_P - {"div", "section"})
-    return " ".join(t for t, _, path in lines if elected in path)
+    elected = _elected(parser, [lines[i][2] for i in content], weight)
+    if sum(len(lines[i][0]) for i in content if not elected.isdisjoint(lines[i][2])) < ELECTED * total:
+        elected = {max(n for n, w in weight.items() if w == total and parser.names[n] not in INLINE and parser.names[n] not in ENDS_P - {"div", "section"})}
+    return " ".join(t for t, _, path in lines if not elected.isdisjoint(path))
+
+
+def _elected(parser: Lines, paths: list[tuple[int, ...]], weight: dict[int, int]) -> set[int]:
+    """Articles and mains around the regions on these paths, without mains whose regions all lie in articles."""
+    named = {n for n in weight if parser.names[n] in MAIN}
+    bare = {n for path in paths for i, n in enumerate(path) if n in named and not any(parser.names[m] == "article" for m in path[i:])}
+    return {n for n in named if parser.names[n] == "article" or n in bare}
 
 
 def extract(pages: DataFrame) -> DataFrame:

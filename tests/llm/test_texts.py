@@ -216,3 +216,29 @@ def test_pages_have_no_furniture(spark):
     assert sum(r.n_chars > 0 for r in got) >= 0.9 * len(got)
     for r in got:
         assert not re.search(r"</?(?:p|div|script|nav|article)\b", r.text) and "  " not in r.text
+
+
+LONG = "The long text of this part goes on for quite a while, so that it is clearly prose and no menu. " * 4
+
+
+@pytest.mark.parametrize("html, parts", [
+    ("<html><head><script><!-- x() </script></head><body><article><p>{0}</p></article></body></html>", 1),
+    ("<p title='<!-- x'>{0}</p><p>{1}</p>", 2),
+    ("<style><!-- a {{}} </style><main><p>{0}</p></main>", 1),
+    ("<body><article><p>{0}</p></article><article><p>{1}</p></article></body>", 2),
+    ("<main><p>{0}</p><p>{1}</p><article><p>Part 2. The teaser goes on for quite a while too, so that it is clearly prose and no menu. It goes on for quite a while too, so that it is clearly prose and no menu.</p></article></main>", 2),
+    ("<body><div><p>{0}</p><p>{1}</p></div><article><p>Part 2. The teaser goes on for quite a while too, so that it is clearly prose and no menu. It goes on for quite a while too, so that it is clearly prose and no menu.</p></article></body>", 2),
+    ("<main><p>{0}</p></main><article><p>{1}</p></article>", 2),
+    ("<body><div class=intro><p>{0}</p></div><div class=body><p>{1}</p><p>{2}</p></div></body>", 3),
+])
+def test_page_keeps_all_content(html, parts):
+    """No script comment, second article, teaser card or sibling block makes content go."""
+    texts = [f"Part {i}. {LONG}".strip() for i in range(3)]
+    got = html_text.main_text(html.format(*texts) + "<ul>" + "<li>Short</li>" * 8 + "</ul>")
+    for text in texts[:parts]:
+        assert text in got
+
+
+@pytest.mark.parametrize("end", ["<!-- never closed <p>hidden</p>", "<!-- a > b <i", "<div class='x", "<!--"])
+def test_page_cut_at_its_end(end):
+    assert html_text.main_text(f"<article><p>{LONG}</p></article>{end}") == LONG.strip()
