@@ -242,3 +242,30 @@ def test_page_keeps_all_content(html, parts):
 @pytest.mark.parametrize("end", ["<!-- never closed <p>hidden</p>", "<!-- a > b <i", "<div class='x", "<!--"])
 def test_page_cut_at_its_end(end):
     assert html_text.main_text(f"<article><p>{LONG}</p></article>{end}") == LONG.strip()
+
+
+def test_formats_of_short_touching_and_long_credentials():
+    """Short tokens are scored, tokens that hold a base span are found whole, and formats longer than 64 characters are learned whole."""
+    pick = np.random.default_rng(6)
+    key = lambda n, letters: "".join(pick.choice(list(letters), n))
+    words = prose(400, 8).split()
+    samples = {"word": [w for w in words if len(w) >= 6], "other": ["-".join(prose(4, i).split()) for i in range(200)]}
+
+    short = secret_scan.Formats({"assign": ["Q7" + key(8, "XYZ0123456789") for _ in range(200)], **samples})
+    token = "Q7" + key(8, "XYZ0123456789")
+    text = f"{' '.join(words[:20])} {token} {' '.join(words[20:30])}"
+    assert [text[a:b] for a, b, _ in secret_scan.all_spans(text, short)[1]] == [token]
+
+    mixed = lambda: "sk_live_" + key(24, "0123456789abcdef") + "_" + key(8, "XYZ")
+    formats = secret_scan.Formats({"assign": [mixed() for _ in range(200)], **samples})
+    token = mixed()
+    base, spans = secret_scan.all_spans(f"see {token} here", formats)
+    assert (12, 36, "hex") in base and (12, 36, "hex") in spans and (4, 4 + len(token), "format") in spans
+
+    long = secret_scan.Formats({"assign": [key(64, "ABCDEF") + key(36, "uvwxyz") for _ in range(200)], **samples})
+    assert long.kinds[0][0].bits(key(64, "ABCDEF") + key(36, "uvwxyz")) < 3.5 * 100
+
+
+def test_labelled_values_are_whole():
+    value = "".join(prose(40, 9).split())[:100]
+    assert ("assign", value) in secret_scan.labelled(f"token={value}") and {"other", "word", "code"} == {secret_scan.ordinary(t) for t in ("a" * 16, "abcdef", "555-12")}
