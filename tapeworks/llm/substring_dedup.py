@@ -1,10 +1,10 @@
 """Substring dedup: MinHash banding over paragraphs, exact Jaccard, components.
 
 Lines are cut into short paragraphs where the text itself says so: at a word whose hash is the least of
-its neighbourhood. A passage pasted anywhere is cut like its other copies but for a few words at its
-ends. Equal paragraphs are collapsed by hash; others meet if one of their MinHash bands (of one
+its neighbourhood, and at line ends, except between lines shorter than a shingle, which are joined.
+A passage pasted anywhere is cut like its other copies but for a few words at its ends. Equal paragraphs are collapsed by hash; others meet if one of their MinHash bands (of one
 row each, for high recall on short paragraphs) agrees, and are linked if the Jaccard similarity of their
-five-word shingles is high enough. Of each component that several documents share, the first
+five-word shingles is high enough. Of each component that occurs twice or more, in one document or several, the first
 paragraph stays and the others are removals; neighbouring ones are joined into passages.
 """
 
@@ -48,7 +48,8 @@ class Paragraphs:
         starts, ends = edges[::2], edges[1::2]
         self.h = h = word_hashes(plain.split())
         line = np.concatenate(([0], np.cumsum(byte == 10)))[starts] if len(starts) else starts
-        cut = self._cuts(h, line, shingle, reach)
+        owner = np.searchsorted(begins, starts, "right") - 1
+        cut = self._cuts(h, self._blocks(line, owner, shingle), shingle, reach)
         first = np.flatnonzero(cut)
         last = np.append(first[1:], len(h))
         keep = last - first >= shingle
@@ -72,6 +73,19 @@ class Paragraphs:
         else:
             self.content = np.empty(0, np.int64)
 
+    @staticmethod
+    def _blocks(line: np.ndarray, owner: np.ndarray, shingle: int) -> np.ndarray:
+        """Numbers of the words' lines, where neighbouring lines of fewer than `shingle` words in a text have one."""
+        n = len(line)
+        if not n:
+            return line
+        head = np.concatenate(([True], line[1:] != line[:-1]))
+        at = np.flatnonzero(head)
+        short = np.diff(np.append(at, n)) < shingle
+        new = np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))
+        new[1:] |= ~(short[1:] & short[:-1])
+        return np.repeat(np.cumsum(new), np.diff(np.append(at, n)))
+
     @staticmethod
     def _cuts(h: np.ndarray, line: np.ndarray, shingle: int, reach: int) -> np.ndarray:
         n = len(h)
@@ -160,11 +174,12 @@ def _collisions(kinds: DataFrame, bands: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, content long, doc long")
 
 
-def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, reach: int = REACH, cell_rows: int = 2000) -> DataFrame:
-    """(doc_id, number, start, end, n_words, cluster): all paragraphs that two documents or more share."""
+def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, reach: int = REACH, cell_rows: int = 2000, within: bool = False) -> DataFrame:
+    """(doc_id, number, start, end, n_words, cluster): all paragraphs that two documents or more share; `within`: or that one repeats."""
     units = materialize(paragraphs(docs, shingle, bands, reach), "paragraphs")
+    place = F.struct("doc_id", "number") if within else F.struct("doc_id")
     kinds = materialize(
-        units.groupBy("content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(bands)]), "kinds"
+        units.groupBy("content").agg(F.min("doc_id").alias("lo"), F.min(place).alias("least"), F.max(place).alias("most"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(bands)]), "kinds"
     )
     met = materialize(_collisions(kinds, bands), "collisions")
     which = _bounded(materialize(met.select("doc").distinct().withColumnRenamed("doc", "doc_id"), "which"))
@@ -194,23 +209,23 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, shingle
 
     near = materialize(components(compare(dealt, ["sh"], check, "content")), "near")
     small = _bounded(near.withColumnRenamed("node", "content"))
-    ends = materialize(kinds.select("content", "lo", "hi").join(small, "content"), "ends")
-    shared = materialize(ends.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("component"), "shared")
+    ends = materialize(kinds.select("content", "least", "most").join(small, "content"), "ends")
+    shared = materialize(ends.groupBy("component").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("component"), "shared")
     clusters = ends.join(shared, "component").select("content", F.col("component").alias("cluster"))
-    equal = kinds.where("lo < hi").select("content").join(near.select(F.col("node").alias("content")), "content", "left_anti")
+    equal = kinds.where("least < most").select("content").join(near.select(F.col("node").alias("content")), "content", "left_anti")
     table = _bounded(materialize(clusters.union(equal.select("content", "content")), "clusters"))
     return units.join(table, "content").select("doc_id", "number", "start", "end", "n_words", "cluster")
 
 
 def passages(docs: DataFrame, least_words: int = LEAST_WORDS, **options) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id, removed, clusters): passages that documents share.
+    """(doc_id, start, end, n_words, first_doc_id, removed, clusters): passages that occur twice or more.
 
     start and end are code points of the text, the end exclusive. The first occurrence of a paragraph (by doc_id, then place)
     is listed with removed = false. first_doc_id is the least document with one of the passage's paragraphs, clusters are their
     components. Null and short texts have none, rows with a null doc_id are left out; rows that repeat a
     doc_id count as one document; other columns are ignored.
     """
-    found = materialize(repeated_paragraphs(docs.where("doc_id is not null"), **options).distinct(), "found")
+    found = materialize(repeated_paragraphs(docs.where("doc_id is not null"), within=True, **options).distinct(), "found")
     first = materialize(found.groupBy("cluster").agg(F.min(F.struct("doc_id", "number")).alias("first")), "first")
     rows = found.join(first, "cluster").withColumn("removed", F.struct("doc_id", "number") != F.col("first"))
     place = Window.partitionBy("doc_id", "removed").orderBy("number")

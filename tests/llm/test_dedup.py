@@ -139,3 +139,15 @@ def test_substring_edges(spark):
     assert substring_dedup.remove_repeats(empty(spark, DOCUMENT)).count() == 0
     kept = substring_dedup.remove_repeats(documents(spark, rows))
     assert kept.count() == 6 and kept.columns == documents(spark, rows).columns
+
+
+def test_passages_of_short_lines_and_in_one_document(spark):
+    """Verses of at most four words a line are found, and so is a passage that one document repeats."""
+    ws, passage = prose(120, 41).split(), prose(60, 42)
+    verse = "\n".join(" ".join(ws[i : i + 3]) for i in range(0, len(ws), 3))
+    texts = [verse, prose(60, 43) + "\n" + verse, "\n".join([passage, prose(50, 44), passage, prose(50, 45), passage]), prose(80, 46)]
+    found = substring_dedup.passages(documents(spark, texts)).collect()
+    assert removed_words(found, 0) == removed_words(found, 3) == 0
+    assert removed_words(found, 1) >= 100 and removed_words(found, 2) == 120
+    clean = {r.doc_id: r.text for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
+    assert clean[2].count(passage) == 1 and clean[0] == texts[0] and clean[3] == texts[3]
