@@ -114,8 +114,13 @@ def new_buyers(tape: DataFrame, seconds: float) -> DataFrame:
 
 
 def new_highs(tape: DataFrame, step: float = 0.05) -> DataFrame:
-    """Times that the price exceeds the last counted high by `step`, from the first price on."""
-    prices = F.transform(F.sort_array(F.collect_list(F.struct("t", "price"))), lambda x: x["price"])
-    start = F.struct(F.element_at("p", 1).alias("high"), F.lit(0).cast("long").alias("n"))
+    """Times that the price exceeds the last counted high by `step`, from the first price on.
+
+    Only rows above all prices before them can count, so only those are collected.
+    """
+    was = F.max("price").over(Window.partitionBy("mint").orderBy("t", "price").rowsBetween(Window.unboundedPreceding, -1))
+    rising = tape.withColumn("_was", was).withColumn("_rises", F.col("price").isNotNull() & (F.col("_was").isNull() | (F.col("price") > F.col("_was"))))
+    prices = F.transform(F.sort_array(F.collect_list(F.when(F.col("_rises"), F.struct("t", "price")))), lambda x: x["price"])
+    start = F.struct(F.try_element_at("p", F.lit(1)).alias("high"), F.lit(0).cast("long").alias("n"))
     fold = F.aggregate("p", start, lambda s, x: F.when(x > s["high"] * (1 + step), F.struct(x.alias("high"), (s["n"] + 1).alias("n"))).otherwise(s))
-    return tape.groupBy("mint").agg(prices.alias("p")).select("mint", fold["n"].alias("new_highs"))
+    return rising.groupBy("mint").agg(prices.alias("p")).select("mint", fold["n"].alias("new_highs"))

@@ -43,6 +43,26 @@ def test_streams_keep_state_between_batches(spark, tmp_path):
     assert sorted(map(tuple, streams.drained(streams.changes(stream, "k", "t", "x", 0.3)).collect())) == [(1, 0.0, 1.0), (1, 2.0, 1.5)]
 
 
+def test_new_highs(spark):
+    want = {}
+    for mint, rows in swaps(spark).items():
+        prices = [r.price for r in sorted(rows, key=lambda r: (r.t, r.price))]
+        high, want[mint] = prices[0], 0
+        for x in prices:
+            if x > high * 1.05:
+                high, want[mint] = x, want[mint] + 1
+    assert dict(map(tuple, tape.new_highs(views.swaps(spark, SF)).select("mint", "new_highs").collect())) == want
+
+
+def test_new_highs_collects_rising_rows_only(spark, monkeypatch):
+    """Of a mint's rows only those above all before them reach the array that is folded."""
+    rows = [(1, float(i), 1.0 + (i % 7) / 10) for i in range(700)] + [(2, 0.0, None), (2, 1.0, 1.0), (2, 2.0, 2.0), (3, 0.0, None)]
+    table = spark.createDataFrame(rows, "mint long, t double, price double")
+    assert dict(map(tuple, tape.new_highs(table).collect())) == {1: 6, 2: 1, 3: 0}
+    monkeypatch.setattr(tape.F, "aggregate", lambda p, start, merge: tape.F.struct(tape.F.size(p).alias("n")))
+    assert dict(map(tuple, tape.new_highs(table).collect())) == {1: 7, 2: 2, 3: 0}
+
+
 def bars(spark):
     found: dict[int, list] = {}
     for r in tape.bars(views.swaps(spark, SF), 3600, 600).orderBy("bar_start").collect():
