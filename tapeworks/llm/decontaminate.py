@@ -212,8 +212,9 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataF
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents without a benchmark window, all columns as they were (nulls: see contamination)."""
     if (index := small_index(benchmark, window, k, broadcast_bytes)) is None:
-        bad = contamination(docs, benchmark, window, k, broadcast_bytes).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+        numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        rows = contamination(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, k, broadcast_bytes)
+        return numbered.join(rows.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,6 +57,16 @@ def test_contamination(spark, limit):
     assert none.where("contaminated").count() == 0 and none.count() == len(docs)
 
 
+@pytest.mark.parametrize("limit", [16_000_000, 0])
+def test_decontamination_is_by_row(spark, limit):
+    """Each row stays or goes by its own text, also if its doc_id is null or repeated."""
+    item = prose(20, 61)
+    docs = documents(spark, [(None, item), (None, prose(30, 62)), (1, item), (1, prose(30, 63)), (2, "clean")])
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.decontaminate(clashing(docs), table, broadcast_bytes=limit)
+    assert sorted(r.text for r in kept.collect()) == sorted([prose(30, 62), prose(30, 63), "clean"]) and kept.columns == clashing(docs).columns
+
+
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
