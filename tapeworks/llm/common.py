@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _fallback: dict[str, str] = {}
@@ -63,6 +64,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have yet, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a different number in each row, written, so that every later read gives a row the same number."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
