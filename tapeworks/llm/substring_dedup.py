@@ -27,8 +27,8 @@ from .components import components
 from .words import WORD_BYTES, encode, kgrams, mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands of two MinHash values each: paragraphs of similarity 0.8 share one with probability 0.998.
-BANDS = 6
+#: Bands of two MinHash values each: paragraphs of similarity 0.8 share one with probability 0.994.
+BANDS = 5
 #: A chunk begins at the least word hash of this many words to both sides, so it has about twice as many words.
 REACH = 6
 #: Words of the shortest passage that is reported; the query reports those that the corpus should not repeat.
@@ -261,14 +261,24 @@ def _anchors(chunks: DataFrame, near: DataFrame) -> DataFrame:
 def _edges(rows: DataFrame, anchors: DataFrame, near: DataFrame, least_words: int) -> DataFrame:
     """Pieces of the chunks before and after the runs of anchors: as many words as another occurrence of the run's outer chunk has."""
     run = F.col("number") - F.row_number().over(Window.partitionBy("n").orderBy("number"))
-    runs = anchors.withColumn("run", run).groupBy("n", "run").agg(
-        F.sum("n_words").alias("words"), F.min_by(F.struct("content", "before"), "number").alias("a"), F.max_by(F.struct("content", "after"), "number").alias("z")
-    )
-    runs = materialize(runs.where(F.col("words") + F.col("a.before") + F.col("z.after") >= least_words), "runs")
-    left = materialize(runs.where("a.before > 0").select("a.content").distinct(), "left")
-    right = materialize(runs.where("z.after > 0").select("z.content").distinct(), "right")
-    a = anchors.where("before > 0").join(_bounded(left), "content").select("n", "doc_id", F.struct("number", F.lit(0).alias("side"), "at", F.col("before").alias("room"), "content", F.col("start").alias("point")).alias("e"))
-    z = anchors.where("after > 0").join(_bounded(right), "content").select("n", "doc_id", F.struct("number", F.lit(1).alias("side"), (F.col("at") + F.col("n_words")).alias("at"), F.col("after").alias("room"), "content", F.col("end").alias("point")).alias("e"))
+    own = Window.partitionBy("n", "run")
+    inner = own.orderBy("number").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    reach = F.sum("n_words").over(own) + F.first("before").over(inner) + F.last("after").over(inner)
+    # an occurrence that shares a long passage with another has a run that reaches as far, so others can't have the same edges
+    of_run = {"reach": reach, "first": F.first("number").over(inner), "last": F.last("number").over(inner), "prev": F.lag("content").over(own.orderBy("number")), "next": F.lead("content").over(own.orderBy("number"))}
+    able = anchors.withColumn("run", run).withColumns(of_run).where(F.col("reach") >= least_words)
+    able = materialize(able.select("n", "doc_id", "number", "at", "n_words", "before", "after", "start", "end", "content", "first", "last", "prev", "next"), "able")
+
+    def side(which: int, end: str, beside: str, room: str, at: Column, point: str) -> DataFrame:
+        """Chunks that begin (or end) some run, wherever they occur; inside runs one occurrence for each chunk beside it will do."""
+        ends = materialize(able.where((F.col("number") == F.col(end)) & (F.col(room) > 0)).select("content").distinct(), "ends")
+        rows = able.where(F.col(room) > 0).join(_bounded(ends), "content")
+        e = F.struct("doc_id", "n", "number", F.lit(which).alias("side"), at.alias("at"), F.col(room).alias("room"), "content", F.col(point).alias("point"))
+        inside = rows.where(F.col(beside).isNotNull()).groupBy("content", beside).agg(F.min(e).alias("e")).select("e")
+        return rows.where(F.col(beside).isNull()).select(e.alias("e")).union(inside).select("e.n", "e.doc_id", "e")
+
+    a = side(0, "first", "prev", "before", F.col("at"), "start")
+    z = side(1, "last", "next", "after", F.col("at") + F.col("n_words"), "end")
     # the edges of one text
     wanted = materialize(a.union(z).groupBy("n", "doc_id").agg(F.collect_list("e").alias("edges")), "wanted")
     names = ["n", "doc_id", "number", "side", "at", "point", "content", "words", "far", "hash"]
