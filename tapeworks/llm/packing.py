@@ -120,18 +120,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to a written table of pieces; other columns must be those of pieces()."""
+    """Add sequence_id and offset to a written table of pieces, whose rows have different values of `_id`.
+
+    Rows of a length are dealt by that number, so equal pieces (copies, repeated rows) don't meet in one group. Which of
+    the pieces of one length goes where has no meaning. Other columns must be those of pieces().
+    """
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError(f"a piece has 1 to {capacity} ids")
     spark = parts.sparkSession
     plan = spark.sparkContext.broadcast(Plan(counts, capacity))
     groups = spark.createDataFrame([(k, v // RANK_ROWS + 1) for k, v in counts.items()], "length long, _groups long")
-    dealt = parts.join(F.broadcast(groups), "length").withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_groups")).drop("_groups")
+    dealt = parts.join(F.broadcast(groups), "length").withColumn("_group", F.pmod(F.xxhash64("_id"), "_groups")).drop("_groups")
     sizes = dealt.groupBy("length", "_group").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(sizes.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "ranks")
-    own = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "_group").orderBy("_id")
     ranked = dealt.withColumn("_rank", F.row_number().over(own) - 1).join(starts, ["length", "_group"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -147,10 +151,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of all document rows with sequence_id and offset; no sequence exceeds the capacity, none has gaps.
 
-    Repeated rows and ids are packed each; an empty table gives an empty one; other columns are ignored.
+    Repeated rows and ids, null ids too, are packed each; whole texts however long; an empty table gives an empty one;
+    other columns are ignored.
     """
-    return pack(materialize(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    rows = pieces(docs, tokenizer, capacity, end_id).withColumn("_id", F.monotonically_increasing_id())
+    return pack(materialize(rows, "pieces"), capacity)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op4_best_fit_packing: all `documents` in sequences of 2048 tokens."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_path())

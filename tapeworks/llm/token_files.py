@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import shared_dir, slices
+from .common import materialize, shared_dir, slices
 from .tokens import encoder, public_path
 
+#: Files up to which their totals (a row each) are sent to every task; beyond, they are joined by shuffle.
+BROADCAST_FILES = 1_000_000
 FILE_SCHEMA = "shard int, doc_id long, shard_start long, n_tokens long, block_starts array<int>, blocks binary"
 END_ID = 0
 
@@ -29,7 +31,8 @@ END_ID = 0
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, percentile: float = 0.95) -> None:
     """Encode every text (null: empty), end it with end_id, and write the files to path.
 
-    Rows with a null doc_id come first, repeated ids in any order among themselves; other columns are ignored.
+    Rows with a null doc_id come first, repeated ids in any order among themselves, and many rows of one id are dealt
+    to several files by their texts' hashes. An empty table gives no rows; other columns are ignored.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -46,14 +49,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 ["shard", "doc_id", "shard_start", "n_tokens", "block_starts", "blocks"],
             )
 
-    docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text"))
+    dealt.sortWithinPartitions("doc_id").mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 
 def with_starts(files: DataFrame) -> DataFrame:
     """Add `start`: the ids of all documents before each one, from the shards' totals (a row per file)."""
-    shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
+    totals = materialize(files.groupBy("shard").agg(F.sum("n_tokens").alias("_n")), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    shards = totals.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if totals.count() <= BROADCAST_FILES:
+        shards = F.broadcast(shards)
     return files.join(shards, "shard").withColumn("start", F.col("_before") + F.col("shard_start")).drop("_before")
 
 
@@ -88,6 +94,7 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_token_files: all `documents`, written and read back."""
     path = f"{shared_dir(spark)}/tapeworks/token-files-{uuid.uuid4().hex}"
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_path())
     return digests(read_files(spark, path))

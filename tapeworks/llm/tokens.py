@@ -26,12 +26,13 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Encodes texts as little-endian uint32 ids; strings of special tokens are ordinary text.
+    """Encodes texts as little-endian uint32 ids, as the library does without adding special tokens.
 
     A byte-level tokenizer cuts a text before every space that follows no space and at single line
     ends, so there the ids of a word with its space don't depend on what surrounds it. Those are looked
     up in bounded tables and only words that they lack go to the library, many in one text.
-    Texts with white space in a row go to the library whole, as do all texts of other kinds of tokenizers.
+    Texts with white space in a row or a string of one of the tokenizer's added tokens go to the library whole, as do
+    all texts of other kinds of tokenizers.
     """
 
     _runs = re.compile(r"[ \n](?:\s|\Z)").search
@@ -42,9 +43,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         # words after a space and at the start of a line; of each, the table in use and the one before it
@@ -106,7 +107,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = b""
-            elif not self.by_word or self._runs(text):
+            elif not self.by_word or self._runs(text) or any(a in text for a in self.added):
                 whole.append(i)
             else:
                 lines[i] = cut = [line.split(" ") for line in text.split("\n")]
