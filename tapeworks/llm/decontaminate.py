@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, with_column
+from .common import materialize, numbered, private, slices
 from .words import kgrams, winnow, word_hashes, words
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
@@ -135,7 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
     A null or wordless text has no words and is clean; an empty benchmark leaves all clean. Items
     without words never match; repeated item ids count once, a null id as the empty string. Repeated
-    document rows each get a row; other columns of both tables are ignored.
+    document rows each get a row, also those with a null id; texts are read whole, however long; an empty table
+    gives an empty one; other columns of both tables are ignored.
     """
     docs = docs.select("doc_id", "text")
     if (index := small_index(benchmark, window, k, broadcast_bytes)) is None:
@@ -210,11 +211,16 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataF
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents without a benchmark window, all columns as they were (nulls: see contamination)."""
+    """The documents without a benchmark window, all columns as they were.
+
+    Every row is judged by its own text, whatever its doc_id: rows that share an id or have none stay or go alone.
+    Null, empty and wordless texts stay; an empty benchmark leaves all. Both ways, by broadcast and by shuffle, give the same rows.
+    """
     if (index := small_index(benchmark, window, k, broadcast_bytes)) is None:
-        numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        rows = contamination(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, k, broadcast_bytes)
-        return numbered.join(rows.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
+        row = private(docs, "row")
+        rows = numbered(docs, row)
+        found = contamination(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, window, k, broadcast_bytes)
+        return rows.join(found.where("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,4 +257,5 @@ from d left join hw using (doc_id) left join hi using (doc_id) left join spans u
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op2_decontamination: all `documents` against all of `benchmark`."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import compare, deal
-from .common import claim, materialize, slices
+from .common import claim, materialize, numbered, private, slices
 from .components import components
 from .words import encode
 
@@ -42,16 +43,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each document row as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The long columns `ids` and fp, the fingerprint as a signed long, of each document row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         for batch in slices(batches):
-            fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(len(ids)).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*(c.cast(pa.int64()) for c in batch.columns[:-1]), pa.array(fp.view(np.int64))], [*ids, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*ids, "text").mapInArrow(run, ", ".join(f"`{c}` long" for c in (*ids, "fp")))
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -61,21 +62,31 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(masks, blocks - distance)]
 
 
-def near_groups(prints: DataFrame, distance: int = 4, blocks: int = 6, cell_rows: int = 2000) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of (doc_id, fp), a written table.
+def enough_blocks(rows: int, distance: int = 4) -> int:
+    """The least number of blocks that gives a fingerprint at most about one chance meeting with `rows` others.
 
-    Documents whose fingerprints differ in at most `distance` bits are linked. With 6 blocks and
-    distance 4 a close pair agrees in 2 blocks, so there are 15 keys of 21 or 22 bits for each
-    distinct fingerprint; copies are collapsed first. A null doc_id never names a group unless all
-    of its members are null.
+    More blocks make more keys, each of more bits, so buckets stay small as tables grow; the links found are the same.
     """
+    blocks = distance + 2
+    while blocks < 16 and comb(blocks, distance) * rows > 1 << 64 * (blocks - distance) // blocks:
+        blocks += 1
+    return blocks
+
+
+def classes(prints: DataFrame, distance: int = 4, blocks: int | None = None, cell_rows: int = 2000) -> DataFrame:
+    """(fp, part): the least fingerprint that each distinct one of a written table of `fp` reaches by links.
+
+    Fingerprints that differ in at most `distance` bits are linked. With `blocks` blocks (default: enough_blocks) a close
+    pair agrees in `blocks - distance` of them, so every choice of so many is a key; copies are collapsed first.
+    """
+    fps = materialize(prints.select("fp").distinct(), "fingerprints")
+    blocks = blocks or enough_blocks(fps.count(), distance)
     if not distance < blocks <= 64:
         raise ValueError("more blocks than differing bits are needed")
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
     masks = block_masks(distance, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)]))
-    keyed = reps.select("fp", keys.alias("x")).select("fp", F.xxhash64("x.t", "x.k").alias("key"))
+    keyed = fps.select("fp", keys.alias("x")).select("fp", F.xxhash64("x.t", "x.k").alias("key"))
 
     def check(table: pa.Table):
         fp = table.column(0).to_numpy().view(np.uint64)
@@ -83,34 +94,47 @@ def near_groups(prints: DataFrame, distance: int = 4, blocks: int = 6, cell_rows
 
     links = compare(deal(keyed.withColumn("node", F.col("fp")), "key", "fp", cell_rows), ["fp"], check, "node")
     parts = components(links)
-    named = materialize(
-        reps.join(parts, reps.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("part")), "parts"
-    )
+    return materialize(fps.join(parts, fps.fp == parts.node, "left").select("fp", F.coalesce("component", "fp").alias("part")), "parts")
+
+
+def near_groups(prints: DataFrame, distance: int = 4, blocks: int | None = None, cell_rows: int = 2000) -> DataFrame:
+    """The rows of `prints` (doc_id, fp and others), a written table, with component_id.
+
+    A null doc_id never names a group unless all of its members are null; repeated ids keep a row each.
+    """
+    parts = classes(prints, distance, blocks, cell_rows)
+    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "least")
+    named = materialize(reps.join(parts, "fp"), "named")
     least = materialize(named.groupBy("part").agg(F.min("rep").alias("component_id")), "least")
     final = materialize(named.join(least, "part").select("fp", "component_id"), "groups")
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(final, "fp").select(*prints.columns, "component_id")
 
 
-def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 6) -> DataFrame:
+def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per document row: doc_id, fingerprint (16 hex digits), component_id.
 
-    Null, empty and blank texts have fingerprint zero and are linked like others. Repeated rows and
-    ids each get a row; other columns are ignored; an empty table gives an empty one.
+    Null, empty and blank texts have fingerprint zero and are linked like others; texts are read whole, however long.
+    Repeated rows and ids each get a row, null ids too; other columns are ignored; an empty table gives an empty one.
     """
     prints = materialize(fingerprints(docs, shingle), "prints")
     out = near_groups(prints, distance, blocks)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 6) -> DataFrame:
+def drop_near_copies(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
     """The documents whose doc_id is the least of their group, all columns as they were.
 
-    Rows with a null doc_id can't be named and are kept; of rows that repeat a kept doc_id all stay.
+    Every row is judged by its own text: it goes if its group has a lesser doc_id. A row of another group stays, also if it
+    shares the doc_id of one that goes. Rows with a null doc_id can't be named and are kept; of rows that repeat the kept
+    doc_id all stay. Null, empty and blank texts are one group; an empty table gives an empty one.
     """
-    groups = simhash_groups(docs, distance, shingle, blocks)
-    gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row = private(docs, "row")
+    rows = numbered(docs, row)
+    prints = materialize(fingerprints(rows, shingle, (row, "doc_id")), "prints")
+    gone = near_groups(prints, distance, blocks).where("doc_id <> component_id").select(row)
+    return rows.join(materialize(gone, "gone"), row, "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op5_simhash_dedup: all `documents`."""
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
