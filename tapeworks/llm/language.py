@@ -6,25 +6,26 @@ longest character n-grams of it that training has, position by position.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import claim, keeps, materialize, slices
 from .words import MEMO_ENTRIES
 
-#: Training documents of each language, about: rows with the least hashes of their text and id.
+#: Training documents of each language, about: different texts whose hash is in the share that leaves so many.
 DOCS_PER_LANGUAGE = 1500
 #: Longest n-gram, and times that a word or n-gram must occur in the sample.
 NGRAM, LEAST = 4, 2
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: letters of any script, with the marks (vowel signs, accents) on them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Words that count in full towards the score; longer texts are no surer.
 SURE_WORDS = 30
 
@@ -32,10 +33,10 @@ SURE_WORDS = 30
 class Model:
     """Log frequencies of words and n-grams in each language (columns in the order of `languages`)."""
 
-    def __init__(self, counts: list[tuple[str, int, str, int]]):
-        """counts: language, length of the n-gram (0: word), item, times."""
+    def __init__(self, counts: list[tuple[str, int, str, int]], languages: Iterable[str] = ()):
+        """counts: language, length of the n-gram (0: word), item, times. languages: others that were learned from."""
         self.id = uuid.uuid4().hex
-        self.languages = sorted({c[0] for c in counts})
+        self.languages = sorted({c[0] for c in counts} | set(languages))
         at = {lang: i for i, lang in enumerate(self.languages)}
         self.words: dict[str, int] = {}
         self.grams: dict[str, int] = {}
@@ -118,15 +119,16 @@ def held_out(doc_id: str = "doc_id"):
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Learn from (text, lang) rows; rows with a null text or language are left out.
 
-    Of a language with more than docs_per_language rows, those whose hash is in the share that
-    leaves about so many are taken, whole. Words and n-grams that occur once are not kept.
+    Of a language with more than docs_per_language rows, the texts whose hash is in the share that leaves about so many
+    are taken, whole; a text counts once, however many copies there are. Words and n-grams that occur once in a
+    language's sample are not kept, but the language is. An empty table gives a model that says und.
     """
     rows = labelled.where("text is not null and lang is not null").select("lang", "text")
     sizes = rows.groupBy("lang").count().collect()  # a row for each language
     if not sizes:
         return Model([])
     share = F.coalesce(*[F.when(F.col("lang") == r[0], F.lit(min(1.0, docs_per_language / r[1]))) for r in sizes])
-    taken = rows.where((F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)))
+    taken = rows.where((F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -144,14 +146,15 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mode
     cut = F.explode(F.transform(F.sequence(F.lit(1), F.length("m") - F.col("n") + 1), lambda i: F.substr("m", i, F.col("n")))).alias("item")
     grams = marked.select("lang", "m", lengths, "times").select("lang", "n", cut, "times").groupBy("lang", "n", "item").agg(F.sum("times").alias("times"))
     counted = words.select("lang", F.lit(0).alias("n"), "item", "times").union(grams).where(F.col("times") >= LEAST)
-    return Model([tuple(r) for r in counted.collect()])  # bounded by the sample
+    return Model([tuple(r) for r in counted.collect()], [r[0] for r in sizes])  # bounded by the sample
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every document row from its whole text; und for null texts and those without letters.
 
     The score is the probability of the predicted language among those learned. Ties go to the language first
-    in order. Repeated rows and ids each get a row; other columns are ignored.
+    in order. Repeated rows and ids each get a row, null ids too; texts are read whole, however long; an empty table gives
+    an empty one; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -165,7 +168,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents with a predicted language and a score of `least` or more, all columns as they were."""
+    """The documents with a predicted language and a score of `least` or more, all columns as they were.
+
+    Each row is judged by its own whole text, whatever its ids; null, empty and letterless texts go; ties of two languages
+    have a score of 0.5 and stay at the default. An empty table gives an empty one, and so does a model that has learned nothing.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -179,6 +186,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op7_language_id: all `documents`, learned from those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs, fit(docs.where(~held_out())))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
