@@ -21,10 +21,12 @@ from .cells import compress, whole_cells
 from .common import materialize
 from .components import components
 
-#: Vectors that the rotation and tree are fitted on, at most, and their numbers at most.
-SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 4_000_000
-#: Vectors of a group, leaves of the tree, leading axes of the boxes, vectors of a tile.
-GROUP_ROWS, LEAVES, LEAD, TILE = 6000, 4096, 6, 512
+#: Vectors that the rotation and tree are fitted on (more for a tree of many leaves), and their numbers at most.
+SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 16_000_000
+#: Most vectors of a group and their numbers at most; groups that a table is dealt into at least, if they have LEAST_ROWS.
+GROUP_ROWS, GROUP_VALUES, LEAST_GROUPS, LEAST_ROWS = 6000, 2_000_000, 24, 512
+#: Sampled vectors for a leaf of the tree, leading axes of the boxes, vectors of a tile.
+LEAF_SAMPLE, LEAD, TILE = 4, 6, 512
 SLACK = 1e-9
 
 
@@ -60,7 +62,12 @@ class Space:
 
 
 def vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two (which is exact and changes no cosine), so that their squares don't overflow."""
+    return np.ldexp(v, -np.frexp(abs(v).max(axis=1, keepdims=True))[1]) if v.size else v
 
 
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -132,11 +139,13 @@ def _links(reps: DataFrame, dim: int, least: float, group_rows: int) -> DataFram
     """(uid, n, root) partial results of all cells, for vectors of one length, a written table."""
     spark = reps.sparkSession
     rows = reps.count()
-    most = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))
+    group_rows = max(1, min(group_rows, GROUP_VALUES // dim, max(LEAST_ROWS, -(-rows // LEAST_GROUPS))))
+    most = max(1, min(max(SAMPLE_ROWS, 4 * LEAF_SAMPLE * rows // group_rows), SAMPLE_VALUES // dim))
     share = F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < F.lit(min(1.0, most / max(1, rows)) * (1 << 30))
-    sample = np.array([r[0] for r in reps.where(share).select("embedding").limit(2 * most).collect()] or [r[0] for r in reps.select("embedding").limit(1).collect()], np.float64)
+    taken = reps.where(share).select("embedding").limit(2 * most).toArrow()
+    sample = vectors((taken if taken.num_rows else reps.select("embedding").limit(1).toArrow()).column(0).combine_chunks(), dim)
     leaves = 1
-    while leaves < LEAVES and leaves * group_rows < rows:
+    while leaves * group_rows < rows and 2 * LEAF_SAMPLE * leaves <= max(len(sample), LEAF_SAMPLE):
         leaves *= 2
     space = spark.sparkContext.broadcast(Space(sample, leaves))
     lead = min(LEAD, dim)
@@ -149,9 +158,9 @@ def _links(reps: DataFrame, dim: int, least: float, group_rows: int) -> DataFram
             leaf = space.value.leaf(z[:, :LEAD])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), *(pa.array(z[:, k]) for k in range(lead))], ["uid", "copies", "embedding", "leaf", *(f"z{k}" for k in range(lead))])
 
-    schema = "uid long, copies long, embedding array<float>, leaf long" + "".join(f", z{k} double" for k in range(lead))
+    schema = f"uid long, copies long, embedding {dict(reps.dtypes)['embedding']}, leaf long" + "".join(f", z{k} double" for k in range(lead))
     placed = materialize(reps.select("uid", "copies", "embedding").mapInArrow(place, schema), "placed")
-    sizes = {r[0]: r[1] for r in placed.groupBy("leaf").count().collect()}  # at most LEAVES rows
+    sizes = {r[0]: r[1] for r in placed.groupBy("leaf").count().collect()}  # a row for each leaf
     parts = spark.createDataFrame([(k, -(-n // group_rows)) for k, n in sizes.items()], "leaf long, parts long")
     own = F.pmod(F.xxhash64("uid", F.lit(3)), F.col("parts"))
     grouped = materialize(placed.join(F.broadcast(parts), "leaf").withColumn("part", own).drop("parts"), "grouped")
@@ -194,13 +203,17 @@ def _links(reps: DataFrame, dim: int, least: float, group_rows: int) -> DataFram
 def near_vectors(table: DataFrame, least: float = 0.9, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    n_links counts the other rows with a cosine of at least `least`, in double precision. Null, empty and zero vectors and
+    n_links counts the other rows with a cosine of at least `least`, in double precision from the components as they are
+    given (floats stay floats in storage only). Null, empty and zero vectors and
     those with null or non-finite components link with nothing, nor do vectors of different lengths. Repeated rows
-    link with each other. A component without any vec_id has a null component_id; its rows are kept. Other columns are ignored.
+    link with each other. A component without any vec_id has a null component_id; its rows are kept. An empty table gives an
+    empty one; other columns are ignored.
     """
     if not 0 < least <= 1:
         raise ValueError("the threshold is a cosine above 0")
-    rows = materialize(table.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    kind = dict(table.dtypes)["embedding"]
+    embedding = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = materialize(table.select("vec_id", embedding.alias("embedding")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.coalesce((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.where(whole)
@@ -242,4 +255,5 @@ select n vec_id, coalesce((select count(*) from links where a = n), 0)::bigint n
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op9_embedding_dedup: all `embeddings`."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
