@@ -23,13 +23,25 @@ from .common import slices
 
 # Element and class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-FURNITURE = frozenset("head script style noscript template iframe object svg math canvas audio video map nav footer aside form button select textarea input option dialog menu".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mfenced mstyle semantics annotation".split()
+)
+FURNITURE = frozenset("head script style noscript template iframe object svg canvas audio video map nav footer aside form button select textarea input option dialog menu".split())
+#: Words of class names and ids that say what an element is for.
 FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar aside footer header masthead topbar cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended comment comments commentlist respond disqus replies widget toolbar pagination pager skip".split()
 )
+#: Words that only say where or of what kind it is, and that may stand beside those.
+STRUCTURE_NAMES = frozenset(
+    "area bar block bottom box button buttons column container content ctr feed form global group holder icons inner item items left link links list main message outer page panel posts primary "
+    "right row secondary section site slot strip the thread top unit wrap wrapper zone".split()
+)
+#: Names that paragraphs, lists and tables of an article bear as well.
+TEXT_NAMES = frozenset("notice notices menu share related recommended comment header footer social widget skip banner promotion".split())
+TEXT_ELEMENTS = frozenset("p ul ol dl li dt dd table caption tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 MAIN = ("article", "main")
 #: Elements that an unclosed <p> or list item ends at.
@@ -41,15 +53,21 @@ _CUT = re.compile(r"<(?:[A-Za-z!/?][^<>]*)?\Z")
 _NAME = re.compile(r"[a-z0-9]+")
 
 
-def _furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _names_furniture(name: str, text: bool) -> bool:
+    """Whether a class name or id consists of furniture words and words of structure; one such word among others is none."""
+    parts = [p for p in _NAME.findall(name) if not p.isdigit()]
+    found = FURNITURE_NAMES.intersection(parts)
+    return bool(found) and STRUCTURE_NAMES.issuperset(found.symmetric_difference(parts)) and not (text and found <= TEXT_NAMES)
+
+
+def _furniture(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    """Whether an element is no content by its name, class, id or role; inside: of an article or main."""
     if tag in FURNITURE:
         return True
     for key, value in attrs:
         if key in ("class", "id") and value and tag not in ("body", "html", "article", "main"):
-            for name in value.lower().split():
-                parts = _NAME.findall(name)
-                if parts and (parts[0] in FURNITURE_NAMES or parts[-1] in FURNITURE_NAMES):
-                    return True
+            if any(_names_furniture(name, inside and tag in TEXT_ELEMENTS) for name in value.lower().split()):
+                return True
         elif key == "role" and value and value.lower() in FURNITURE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
     return False
@@ -64,6 +82,7 @@ class Lines(HTMLParser):
         self.names: list[str] = [""]  # of each element by number; 0 is the page
         self.open: list[tuple[str, int, bool]] = []  # name, number, whether furniture
         self.hidden = 0
+        self.mains = 0
         self.parts: list[str] = []
         self.tags = 0
 
@@ -76,7 +95,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in INLINE:
-            if tag not in VOID and (self.hidden or _furniture(tag, attrs)):
+            if tag not in VOID and (self.hidden or _furniture(tag, attrs, self.inside)):
                 self.push(tag, True)
             return
         if tag == "br":
@@ -89,12 +108,17 @@ class Lines(HTMLParser):
             self.close_open("p", {"div", "section", "article", "td", "li", "body"})
         elif tag in ("li", "dt", "dd", "option"):
             self.close_open(tag, {"ul", "ol", "dl", "menu", "select"})
-        self.push(tag, _furniture(tag, attrs) or tag == "header" and not any(t in MAIN for t, _, _ in self.open))
+        self.push(tag, _furniture(tag, attrs, self.inside) or tag == "header" and not self.inside)
+
+    @property
+    def inside(self) -> bool:
+        return self.mains > 0
 
     def push(self, tag: str, furniture: bool) -> None:
         self.names.append(tag)
         self.open.append((tag, len(self.names) - 1, furniture))
         self.hidden += furniture
+        self.mains += tag in MAIN
 
     def close_open(self, tag: str, within: set[str]) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -105,8 +129,9 @@ class Lines(HTMLParser):
                 return
 
     def pop_to(self, i: int) -> None:
-        for _, _, furniture in self.open[i:]:
+        for tag, _, furniture in self.open[i:]:
             self.hidden -= furniture
+            self.mains -= tag in MAIN
         del self.open[i:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -183,7 +208,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null, empty and contentless pages have the text "". Character references are decoded, white space in a block is one
     space, blocks are joined by one space; a tag or comment cut off by the end of the page is no text. Repeated rows and
-    ids each get a row; other columns are ignored.
+    ids each get a row, null ids too; pages are read whole, however long; an empty table gives an empty one; other columns
+    are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,4 +221,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """op10_html_extraction: all `pages`."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
