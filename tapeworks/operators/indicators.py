@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import recurrences
+
 
 def by_bar() -> Window:
     return Window.partitionBy("mint").orderBy("bar_start")
@@ -20,33 +22,15 @@ def bollinger(bars: DataFrame, length: int, width: float, low: float = 0.0, high
     return rows.withColumn("signal", F.when(F.col("bbp") < low, 1).when(F.col("bbp") > high, -1).otherwise(0))
 
 
-def ema_array(values: Column, length: int) -> Column:
-    """Exponential averages of an array: null before the seed, the mean of the first `length` values."""
-    alpha = 2.0 / (length + 1)
-    seed = F.aggregate(F.slice(values, 1, length), F.lit(0.0), lambda a, x: a + x) / length
-    start = F.struct(F.array_repeat(F.lit(None).cast("double"), length - 1).alias("out"), F.lit(None).cast("double").alias("last"))
-    first = F.struct(F.concat(start["out"], F.array(seed)).alias("out"), seed.alias("last"))
-
-    def step(s: Column, x: Column) -> Column:
-        y = x * alpha + s["last"] * (1 - alpha)
-        return F.struct(F.concat(s["out"], F.array(y)).alias("out"), y.alias("last"))
-
-    rest = F.slice(values, F.lit(length + 1), F.greatest(F.size(values) - length, F.lit(0)))
-    none = F.transform(values, lambda x: F.lit(None).cast("double"))
-    return F.when(F.size(values) >= length, F.aggregate(rest, first, step)["out"]).otherwise(none)
-
-
 def ema(bars: DataFrame, length: int) -> DataFrame:
-    """(mint, bar_start, ema): one mint's bars are folded in one array."""
-    rows = bars.groupBy("mint").agg(F.sort_array(F.collect_list(F.struct("bar_start", "close"))).alias("b"))
-    rows = rows.select("mint", F.col("b.bar_start").alias("s"), F.col("b.close").alias("c")).withColumn("e", ema_array(F.col("c"), length))
-    return rows.select("mint", F.explode(F.arrays_zip("s", "e")).alias("x")).select("mint", F.col("x.s").alias("bar_start"), F.col("x.e").alias("ema"))
+    """(mint, bar_start, ema): null before `length` bars, then their mean, then the recurrence; one mint's bars in one task."""
+    return recurrences.by_mint(bars, lambda high, low, close: (recurrences.ema(close, length),), "ema double").select("mint", "bar_start", "ema")
 
 
 def spread_zscore(pairs: DataFrame) -> DataFrame:
     """Rows (k, i, x, y) by position: hedge ratio of y on x, and z-score of the last residual per k."""
-    w = Window.partitionBy("k")
-    rows = pairs.withColumns({"beta": F.regr_slope("y", "x").over(w), "alpha": F.regr_intercept("y", "x").over(w)}).withColumn("r", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"))
+    fit = pairs.groupBy("k").agg(F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("alpha"))
+    rows = pairs.join(fit, "k").withColumn("r", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"))
     out = rows.groupBy("k").agg(F.first("beta").alias("beta"), F.first("alpha").alias("alpha"), F.max_by("r", "i").alias("last"), F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))
     return out.select("k", "alpha", "beta", F.when(F.col("s") > 1e-12, (F.col("last") - F.col("m")) / F.col("s")).alias("zscore"))
 

@@ -19,6 +19,11 @@ def running(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         name = side.lower()
         cols = cols.withColumn(f"{name}_volume", F.sum(F.when(own, F.col("amount")).otherwise(0.0)).over(w)).withColumn(f"{name}_quote", F.sum(F.when(own, F.col("price") * F.col("amount")).otherwise(0.0)).over(w))
     cols = cols.withColumn("cum_fee", F.sum("fee").over(w)).withColumn("cum_volume", F.sum(F.col("price") * F.col("amount")).over(w))
+    return _results(cols)
+
+
+def _results(cols: DataFrame) -> DataFrame:
+    """Average prices and results from volumes, quote volumes, the mark `price`, `fee` and `cum_fee`."""
     buy, sell = (F.coalesce(F.try_divide(F.col(f"{s}_quote"), F.col(f"{s}_volume")), F.lit(0.0)) for s in ("buy", "sell"))
     cols = cols.withColumn("buy_avg", buy).withColumn("sell_avg", sell)
     net, matched = F.col("buy_volume") - F.col("sell_volume"), F.least("buy_volume", "sell_volume")
@@ -29,9 +34,12 @@ def running(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return cols.withColumn("net_pnl", pnl - F.col("fee")).withColumn("net_pnl_all_fees", pnl - F.col("cum_fee"))
 
 
-def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def summary(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """running() after each key's last trade, by one combining aggregate: the sums don't need the trades' order."""
+    at = F.struct(*order)
+    sums = [F.sum(F.when(F.col("side") == s, x).otherwise(0.0)).alias(f"{s.lower()}_{n}") for s in ("BUY", "SELL") for n, x in (("volume", F.col("amount")), ("quote", F.col("price") * F.col("amount")))]
+    rows = trades.groupBy(*keys).agg(*sums, F.sum("fee").alias("cum_fee"), F.sum(F.col("price") * F.col("amount")).alias("cum_volume"), F.max_by("price", at).alias("price"), F.max_by("fee", at).alias("fee"))
+    return _results(rows)
 
 
 def positions(trades: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import percent
+
 
 def latest(states: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """All rows at the greatest timestamp of their keys, ties included."""
     return states.withColumn("_r", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(ts)))).where("_r = 1").drop("_r")
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.try_divide(part * 100, whole), F.lit(0.0))
-
-
 def distribution(states: DataFrame, levels: list[list[str]]) -> DataFrame:
     """Value, units and share of the total for each grouping of columns in `levels`, in one scan.
 
@@ -27,13 +25,6 @@ def distribution(states: DataFrame, levels: list[list[str]]) -> DataFrame:
     return rows.join(F.broadcast(total)).withColumn("pct", percent(F.col("value"), F.col("_total"))).drop("_total")
 
 
-def by_minute(states: DataFrame, keys: list[str]) -> DataFrame:
-    """The oldest state of each minute and key."""
-    other = [c for c in states.columns if c not in (*keys, "ts")]
-    rows = states.groupBy(F.date_trunc("minute", "ts").alias("minute"), *keys).agg(F.min_by(F.struct("ts", *other), "ts").alias("s"))
-    return rows.select("minute", *keys, "s.*")
-
-
 def sampled(states: DataFrame, key: str, seconds: float) -> DataFrame:
     """Newest first, the rows at least `seconds` older than the last one kept; (key, t) with t in seconds.
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,7 +61,7 @@ def supertrend_of(high: np.ndarray, low: np.ndarray, close: np.ndarray, length:
     return line, direction
 
 
-def _by_mint(bars: DataFrame, fn, added: str) -> DataFrame:
+def by_mint(bars: DataFrame, fn, added: str) -> DataFrame:
     """Add double columns that fn makes of a mint's bars in order of time; NaN becomes null."""
     names = [c.split()[0] for c in added.split(", ")]
     rows = bars.select("mint", "bar_start", "high", "low", "close")
@@ -84,7 +84,7 @@ def macd(bars: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
         mean = ema(line, signal)
         return line, mean, line - mean
 
-    return _by_mint(bars, fn, "macd double, macd_signal double, macd_hist double")
+    return by_mint(bars, fn, "macd double, macd_signal double, macd_hist double")
 
 
 def macd_bands_signal(bands: DataFrame, lines: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -97,7 +97,7 @@ def macd_bands_signal(bands: DataFrame, lines: DataFrame, low: float = 0.0, high
 
 def supertrend(bars: DataFrame, length: int, width: float, near: float) -> DataFrame:
     """Bars with line, direction (0 until enough bars) and the signal: the direction while the close is within `near` of the line."""
-    rows = _by_mint(bars, lambda h, l, c: supertrend_of(h, l, c, length, width), "line double, direction double")
+    rows = by_mint(bars, lambda h, l, c: supertrend_of(h, l, c, length, width), "line double, direction double")
     distance = F.try_divide(F.abs(F.col("close") - F.col("line")), "close")
     rows = rows.withColumn("direction", F.col("direction").cast("int"))
     return rows.withColumn("signal", F.when(distance < near, F.col("direction")).otherwise(0))
@@ -105,10 +105,17 @@ def supertrend(bars: DataFrame, length: int, width: float, near: float) -> DataF
 
 def volatility_shift(bars: DataFrame, length: int, fast: int, slow: int, signal: int) -> DataFrame:
     """Per bar: natr (share of the close) and the reference price, moved against the standardized MACD and with its
-    histogram's sign by half the natr at most per unit. The MACD's mean and sample deviation are those of the mint's bars."""
-    rows = macd(bars, fast, slow, signal).join(_by_mint(bars, lambda h, l, c: (atr(h, l, c, length),), "atr double").select("mint", "bar_start", "atr"), ["mint", "bar_start"])
-    w = Window.partitionBy("mint")
-    score = -F.try_divide(F.col("macd") - F.avg("macd").over(w), F.stddev_samp("macd").over(w))
+    histogram's sign by half the natr at most per unit. The MACD's mean and sample deviation are those of the mint's bars; each
+    bar is moved by its own natr (where only the newest bar's price is wanted, take its row)."""
+
+    def fn(high, low, close):
+        line = ema(close, fast) - ema(close, slow)
+        return line, line - ema(line, signal), atr(high, low, close, length)
+
+    rows = by_mint(bars, fn, "macd double, macd_hist double, atr double")
+    of = rows.groupBy("mint").agg(F.avg("macd").alias("_m"), F.stddev_samp("macd").alias("_s"))
+    rows = rows.join(of, "mint")
+    score = -F.try_divide(F.col("macd") - F.col("_m"), "_s")
     way = F.when(F.col("macd_hist") > 0, 1.0).otherwise(-1.0)
     rows = rows.withColumns({"natr": F.try_divide("atr", "close"), "_score": score})
-    return rows.withColumn("reference_price", F.col("close") * (1 + (0.5 * F.col("_score") + 0.5 * way) * F.col("natr") / 2)).drop("_score")
+    return rows.withColumn("reference_price", F.col("close") * (1 + (0.5 * F.col("_score") + 0.5 * way) * F.col("natr") / 2)).drop("_score", "_m", "_s")

@@ -36,9 +36,12 @@ def filled(bar_rows: DataFrame, seconds: int) -> DataFrame:
 
 def weighted_median(tape: DataFrame, weight: Column, least: int = 1) -> DataFrame:
     """Per mint, the first price at which the cumulative weight reaches half; null below `least` swaps."""
-    w = Window.partitionBy("mint").orderBy("price", "t")
-    rows = tape.withColumn("_w", weight).withColumns({"_c": F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_t": F.sum("_w").over(Window.partitionBy("mint"))})
-    return rows.groupBy("mint").agg(F.when(F.count("*") >= least, F.min(F.when(F.col("_c") >= F.col("_t") / 2, F.col("price")))).alias("median_price"), F.count("*").alias("swaps"))
+    total = tape.groupBy("mint").agg(F.count("*").alias("swaps"), F.sum(weight).alias("_t"))
+    levels = tape.groupBy("mint", "price").agg(F.sum(weight).alias("_w"))
+    w = Window.partitionBy("mint").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    half = levels.withColumn("_c", F.sum("_w").over(w)).join(total, "mint").where(F.col("_c") >= F.col("_t") / 2)
+    price = half.groupBy("mint").agg(F.min("price").alias("_p"))
+    return total.join(price, "mint", "left").select("mint", F.when(F.col("swaps") >= least, F.col("_p")).alias("median_price"), "swaps")
 
 
 def recent_median(tape: DataFrame, rows: int = 7) -> DataFrame:

@@ -1,0 +1,3 @@
+"""Importing the package registers all queries."""
+
+from . import accounts, bars, controllers, ledger, live, market, panels, patterns, scores, store  # noqa: F401

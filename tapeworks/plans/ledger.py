@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, performance, portfolio
+from ..operators import filters, history, performance, portfolio
 from ..sources import views as v
 from .registry import query
 
@@ -34,16 +34,21 @@ def trades_search(spark, d):
     return filters.newest(rows, v.TRADE_ORDER, 100).select("account", "pair", "side", "order_id", "line", "part", "supp", "quote")
 
 
+def _priced_orders(spark, d):
+    """The orders' own columns: pages that don't show the account don't need the customers."""
+    return v.table(spark, d, "orders").select(F.col("o_orderkey").alias("client_order_id"), F.col("o_totalprice").alias("amount"))
+
+
 @query("page_offset", f"with {v.ORDERS} select client_order_id, amount, (select count(*) from orders_v) total_count from orders_v order by amount desc, client_order_id desc limit 20 offset 40")
 def page_offset(spark, d):
-    o = v.orders(spark, d)
+    o = _priced_orders(spark, d)
     total = o.agg(F.count("*").alias("total_count"))
     return filters.newest(o, ["amount", "client_order_id"], 20, 40).select("client_order_id", "amount").join(F.broadcast(total))
 
 
 @query("page_keyset", f"with {v.ORDERS} select client_order_id, amount from orders_v where (amount, client_order_id) < (200000.0, 5000) order by amount desc, client_order_id desc limit 30")
 def page_keyset(spark, d):
-    return filters.newest(filters.before(v.orders(spark, d), ["amount", "client_order_id"], (200000.0, 5000)), ["amount", "client_order_id"], 30).select("client_order_id", "amount")
+    return filters.newest(filters.before(_priced_orders(spark, d), ["amount", "client_order_id"], (200000.0, 5000)), ["amount", "client_order_id"], 30).select("client_order_id", "amount")
 
 
 @query("text_search", "select p_partkey, p_name from part where contains(lower(p_name), 'red') or contains(lower(p_brand), 'red')")
@@ -130,7 +135,8 @@ def unique_tokens(spark, d):
     return v.token_states(spark, d).select("token").distinct()
 
 
-@query("state_sampled")
+@query("state_sampled", f"""with recursive {v.SWAPS}, r as (select mint, t, row_number() over (partition by mint order by t desc) k from (select distinct mint, t from swaps_v)),
+  c as (select mint, k, t, t as last, true as emit from r where k = 1 union all select r.mint, r.k, r.t, case when last - r.t >= 21600 then r.t else last end, last - r.t >= 21600 from c join r on r.mint = c.mint and r.k = c.k + 1) select mint, t from c where emit""")
 def state_sampled(spark, d):
     return portfolio.sampled(v.swaps(spark, d).select("mint", "t"), "mint", 6 * 3600.0)
 
@@ -145,15 +151,22 @@ q as (select *, case when ba = 0 then 0 else (sa - ba) * least(bv, sv) end reali
 
 @query("trade_performance", f"with {RUN} select pair, connector, round(bv, 2) buy_volume, round(sv, 2) sell_volume, round(ba, 4) buy_avg, round(sa, 4) sell_avg, round(realized, 2) realized, round(unrealized, 2) unrealized, round(realized + unrealized - fee, 2) net_pnl, round(realized + unrealized - cf, 2) net_pnl_all_fees, round(cv, 2) cum_volume from q where rn = 1")
 def trade_performance(spark, d):
-    rows = performance.last_of(performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER), ["pair", "connector"], v.TRADE_ORDER)
+    rows = performance.summary(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER)
     two = [F.round(c, 2).alias(c) for c in ("buy_volume", "sell_volume", "realized", "unrealized", "net_pnl", "net_pnl_all_fees", "cum_volume")]
     return rows.select("pair", "connector", *two, F.round("buy_avg", 4).alias("buy_avg"), F.round("sell_avg", 4).alias("sell_avg"))
 
 
+@query("trade_last_rows", f"with {RUN} select pair, connector, order_id, line, round(buy_volume, 2) buy_volume, round(net_position, 2) net_position, round(realized, 2) realized, round(unrealized - fee + realized, 2) net_pnl from (select *, bv buy_volume, bv - sv net_position from q) where rn <= 3")
+def trade_last_rows(spark, d):
+    """The running view of the three newest trades of each pair and connector."""
+    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER)
+    kept = history.newest_of(rows, ["pair", "connector"], v.TRADE_ORDER, 3)
+    return kept.select("pair", "connector", "order_id", "line", *[F.round(c, 2).alias(c) for c in ("buy_volume", "net_position", "realized", "net_pnl")])
+
+
 @query("cumulative_fees", f"with {RUN} select pair, connector, round(max(cf), 2) fees, count(*) trades from q group by pair, connector")
 def cumulative_fees(spark, d):
-    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER)
-    return rows.groupBy("pair", "connector").agg(F.round(F.max("cum_fee"), 2).alias("fees"), F.count("*").alias("trades"))
+    return v.trades(spark, d).groupBy("pair", "connector").agg(F.round(F.sum("fee"), 2).alias("fees"), F.count("*").alias("trades"))
 
 
 @query("max_drawdown", f"with {RUN}, f as (select pair, connector, max(greatest(realized + unrealized - cf, 0)) over (partition by pair, connector order by ts, order_id, line, part, supp, quote rows unbounded preceding) - (realized + unrealized - cf) fall from q) select pair, connector, round(max(fall), 2) max_drawdown, max(fall) > 100000 tripped from f group by pair, connector")
@@ -227,8 +240,9 @@ def reconcile_anti(spark, d):
 
 @query("requested_rules", f"with {v.TRADES}, rules as (select pair, min(amount) min_amount, round(min(price), 4) min_price from trades_v group by pair), r as (select unnest(['P1', 'P7', 'P99']) pair) select r.pair, min_amount, min_price, case when rules.pair is null then 'not found' end error from r left join rules using (pair)")
 def requested_rules(spark, d):
-    rules = v.trades(spark, d).groupBy("pair").agg(F.min("amount").alias("min_amount"), F.round(F.min("price"), 4).alias("min_price"), F.lit(True).alias("found"))
-    asked = spark.createDataFrame([("P1",), ("P7",), ("P99",)], "pair string")
+    wanted = ["P1", "P7", "P99"]
+    rules = filters.search(v.trades(spark, d), within={"pair": wanted}).groupBy("pair").agg(F.min("amount").alias("min_amount"), F.round(F.min("price"), 4).alias("min_price"), F.lit(True).alias("found"))
+    asked = spark.createDataFrame([(p,) for p in wanted], "pair string")
     return asked.join(rules, "pair", "left").select("pair", "min_amount", "min_price", F.when(F.col("found").isNull(), "not found").alias("error"))
 
 

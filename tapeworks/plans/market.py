@@ -95,7 +95,8 @@ def new_buyer_growth(spark, d):
     return tape.new_buyers(v.swaps(spark, d), 86400)
 
 
-@query("new_highs")
+@query("new_highs", f"""with recursive {v.SWAPS}, r as (select mint, price, row_number() over (partition by mint order by t, price) k from swaps_v),
+  c as (select mint, k, price high, 0::bigint n from r where k = 1 union all select r.mint, r.k, case when r.price > high * (1 + 0.05::double) then r.price else high end, n + (r.price > high * (1 + 0.05::double))::int from c join r on r.mint = c.mint and r.k = c.k + 1) select mint, max(n) new_highs from c group by mint""")
 def new_highs(spark, d):
     return tape.new_highs(v.swaps(spark, d))
 
@@ -132,7 +133,8 @@ def bollinger_signal(spark, d):
     return rounded(indicators.bollinger(_bars(spark, d), 20, 2.0), 4, "bbp", "bbb").select("mint", "bar_start", "bbp", "bbb", "signal")
 
 
-@query("ema")
+@query("ema", f"""with recursive {BARS}, o as (select mint, bar_start, close, row_number() over (partition by mint order by bar_start) i from b), s as (select mint, avg(close) filter (i <= 12) s, count(*) n from o group by mint),
+  e as (select o.mint, i, s x from o join s on s.mint = o.mint where i = 12 union all select o.mint, o.i, o.close * (2.0 / 13)::double + e.x * (1 - (2.0 / 13)::double) from e join o on o.mint = e.mint and o.i = e.i + 1) select o.mint, o.bar_start, round(x, 8) ema from o left join e on e.mint = o.mint and e.i = o.i""")
 def ema(spark, d):
     return rounded(indicators.ema(_bars(spark, d), 12), 8, "ema")
 

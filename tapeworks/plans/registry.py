@@ -18,6 +18,3 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
-
-
-from . import ledger, live, market, panels  # noqa: E402, F401  they register their queries

@@ -98,3 +98,29 @@ def executors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EXECUTORS = ORDERS + """, executors_v as (select client_order_id executor_id, kind executor_type, 'N' || nation connector,
   case status when 'OPEN' then 'RUNNING' else 'TERMINATED' end status, amount * (client_order_id % 7 - 3) / 100 net_pnl, amount volume, created_at from orders_v)"""
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bot runs: one of each order."""
+    number = F.col("client_order_id")
+    return orders(spark, sf_dir).select(
+        number.alias("run_id"), F.concat(F.lit("bot_"), F.col("nation")).alias("bot"), F.col("kind").alias("strategy_type"), "account", F.col("created_at").alias("deployed_at"),
+        F.when(number % 4 == 0, "ARCHIVED").otherwise("DEPLOYED").alias("deployment_status"), F.when(F.col("status") == "OPEN", "RUNNING").when(F.col("status") == "FILLED", "STOPPED").otherwise("CREATED").alias("run_status"),
+    )
+
+
+RUNS = ORDERS + """, runs_v as (select client_order_id run_id, 'bot_' || nation bot, kind strategy_type, account, created_at deployed_at, case when client_order_id % 4 = 0 then 'ARCHIVED' else 'DEPLOYED' end deployment_status,
+  case status when 'OPEN' then 'RUNNING' when 'FILLED' then 'STOPPED' else 'CREATED' end run_status from orders_v)"""
+
+
+def gateway_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swaps through a gateway: amounts in and out, gas (none for some) and status."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("net"), F.col("l_suppkey") % 3).alias("network"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").alias("input_amount"),
+        F.col("l_extendedprice").alias("output_amount"), F.when(F.col("l_linenumber") > 1, F.col("l_tax")).alias("gas_fee"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"),
+        F.when(F.col("l_linestatus") == "F", "CONFIRMED").when(F.col("l_discount") < 0.05, "SUBMITTED").otherwise("FAILED").alias("status"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
+    )
+
+
+GATEWAY = """gateway_v as (select 'net' || (l_suppkey % 3) network, case l_returnflag when 'R' then 'SELL' else 'BUY' end side, l_quantity input_amount, l_extendedprice output_amount, case when l_linenumber > 1 then l_tax end gas_fee, l_shipdate ts,
+  l_orderkey order_id, l_linenumber line, case when l_linestatus = 'F' then 'CONFIRMED' when l_discount < 0.05 then 'SUBMITTED' else 'FAILED' end status, l_partkey part, l_suppkey supp from lineitem)"""

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sinks import tables
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's folder or file as a stream."""
@@ -101,3 +103,31 @@ def rate_limited(stream: DataFrame, key: str, t: str, value: str, seconds: float
 def backfill_seconds(gap: str, low: float = 60.0, high: float = 1800.0, default: float = 300.0):
     """How much to fetch for a gap: one and a half times the gap, within bounds."""
     return F.coalesce(F.least(F.greatest(1.5 * F.col(gap), F.lit(low)), F.lit(high)), F.lit(default))
+
+
+def snapshots(stream: DataFrame, state: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """state() of each micro-batch's rows, written under the batch's number (column `name`).
+
+    A batch that is run again after a failure overwrites its own folder, so each counts once.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/tapeworks/stream-{uuid.uuid4().hex}"
+
+    def dump(batch: DataFrame, number: int) -> None:
+        state(batch).write.mode("overwrite").parquet(f"{base}/rows/{name}={number}")
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(dump).start().awaitTermination()
+    return spark.read.parquet(f"{base}/rows").withColumn(name, F.col(name).cast("long"))
+
+
+def routed(stream: DataFrame, topic: str, patterns: dict[str, str]) -> DataFrame:
+    """Rows with the name of each handler whose pattern their topic matches; each micro-batch is handed to all handlers."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/tapeworks/stream-{uuid.uuid4().hex}"
+
+    def hand_out(batch: DataFrame, number: int) -> None:
+        to = {p: (lambda df, h=h: df.write.mode("overwrite").parquet(f"{base}/rows/handler={h}/batch={number}")) for h, p in patterns.items()}
+        tables.routed(batch, topic, to)
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(hand_out).start().awaitTermination()
+    return spark.read.parquet(f"{base}/rows")
