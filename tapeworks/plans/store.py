@@ -70,9 +70,7 @@ def archive_discovery(spark, d):
     rows = _archived(spark, d)
     for k in range(3):
         rows.where(F.col("supp") % 3 == k).write.parquet(f"{root}/bot_{k}/data/trade_fills.parquet")
-    found = spark.read.option("recursiveFileLookup", True).parquet(root)
-    found = found.withColumn("instance", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/data/", 1))
-    found = archive.plain(found, "trade_fills")
+    found = archive.discover(spark, root, "trade_fills")
     return found.groupBy("instance", "connector_name").agg(F.count("*").alias("fills"), F.round(F.sum("amount"), 3).alias("amount"))
 
 

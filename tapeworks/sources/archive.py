@@ -35,13 +35,13 @@ def with_cumulative_fees(fills: DataFrame, keys: list[str], order: list[str]) ->
 
 def discover(spark: SparkSession, root: str, table: str) -> DataFrame:
     """The table of all instances under root, with the instance that each row comes from."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{table}*.parquet").parquet(root)
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/*/data/{table}.parquet")
     return plain(rows.withColumn("instance", instance(F.col("_metadata.file_path"))), table)
 
 
 def instance(path: Column) -> Column:
-    """The folder above `data` in a file's path."""
-    return F.regexp_extract(path, r"([^/]+)/data/[^/]+$", 1)
+    """The folder above `data` in the path of a table's file, or of a file of a table's folder."""
+    return F.regexp_extract(path, r"([^/]+)/data/[^/]+(?:/[^/]+)?$", 1)
 
 
 def health(tables: Mapping[str, DataFrame]) -> DataFrame:

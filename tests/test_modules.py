@@ -170,9 +170,9 @@ def test_topics(spark):
 def test_archives(spark, tmp_path):
     for name, amount in (("one", 2_500_000), ("two", 1)):
         spark.createDataFrame([("conf", "binance", "A-B", amount, 1_000_000, 3)], "config string, market string, symbol string, amount long, price long, trade_fee_in_quote long").write.parquet(f"file://{tmp_path}/archived/{name}/data/trade_fills.parquet")
-    got = spark.read.option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/archived").count()
-    assert got == 2
-    rows = archive.plain(spark.read.parquet(f"file://{tmp_path}/archived/one/data/trade_fills.parquet"), "trade_fills").collect()[0]
+    got = {r.instance: r for r in archive.discover(spark, f"file://{tmp_path}/archived", "trade_fills").collect()}
+    assert sorted(got) == ["one", "two"]
+    rows = got["one"]
     assert (rows.amount, rows.price, rows.trade_fee_in_quote, rows.connector_name, rows.trading_pair) == (2.5, 1.0, 3e-6, "binance", "A-B")
     path = spark.range(1).select(archive.instance(F.lit("file:/x/archived/bot_7/data/orders.parquet"))).collect()[0][0]
     assert path == "bot_7"
