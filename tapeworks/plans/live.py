@@ -29,7 +29,7 @@ def stream_dedup(spark, d):
 @query("stream_liveness", f"""with {v.SWAPS}, e as (select max(t) now from swaps_v), s as (select trader, max(t) last_t, arg_max(price, t) last_value, count(*) as rows from swaps_v group by trader)
   select trader, last_t, last_value, rows, case when now - last_t < {DAY} then 'running' else 'idle' end status, greatest({DAY} - (now - last_t), 0) remaining from s, e""")
 def stream_liveness(spark, d):
-    seen = streams.drained(streams.last_seen(_swaps(spark, d), "trader", "t", "price"), "complete")
+    seen = streams.drained(streams.last_seen(_swaps(spark, d), "trader", "t", "price"), "update", ["trader"])
     now = seen.agg(F.max("last_t")).first()[0]
     return streams.liveness(seen, now, DAY) if now is not None else streams.liveness(seen, 0.0, DAY)
 

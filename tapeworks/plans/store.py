@@ -12,7 +12,7 @@ from ..operators import history
 from ..sinks import tables
 from ..sources import archive
 from ..sources import views as v
-from ..streaming.streams import shared_folder
+from ..sources.shared import shared_folder
 from .market import BARS, _bars, rounded
 from .registry import query
 

@@ -6,8 +6,6 @@ executor through the query's checkpoint. Late rows within the watermark count as
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.history import keep_last
 from ..sinks import tables
+from ..sources.shared import shared_folder
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,20 +25,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a session on this machine alone may do without and gets a new folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + os.path.abspath(tempfile.mkdtemp(prefix="spark-"))
-
-
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that its source holds now and return what it wrote.
 
-    In append mode the file sink commits each batch once; in complete mode the last batch's table counts.
+    In append mode the file sink commits each batch once; in update mode each batch writes the keys that it
+    changed, and the last row of a key counts.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/tapeworks/stream-{uuid.uuid4().hex}"
@@ -46,9 +37,11 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     if mode == "append":
         query = writer.format("parquet").start(f"{base}/rows")
     else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/rows")).start()
+        query = writer.foreachBatch(lambda df, number: df.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    return keep_last(spark.read.parquet(f"{base}/rows"), keys, ["batch"]).select(*stream.columns)
 
 
 def deduplicated(stream: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
