@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_fallback: dict[str, str] = {}
+from ..sources.shared import shared_folder
+
+shared_dir = shared_folder
+
 _release: dict[str, Callable[[], None]] = {}
 _owner: list[str] = [""]
 
@@ -33,24 +31,6 @@ def claim(owner: str) -> None:
                 release()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only a local[*] session without that setting (tests) gets a folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="tapeworks-")
-        atexit.register(shutil.rmtree, _fallback[app], True)
-        spark.sparkContext.setCheckpointDir(_fallback[app])
-    return "file://" + os.path.abspath(_fallback[app])
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
@@ -77,10 +57,6 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut record batches into small ones, so that few texts are Python objects at a time."""
     for batch in batches:
