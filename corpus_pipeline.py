@@ -1,7 +1,8 @@
 """Corpus preparation in five stages over `documents`.
 
 Each stage takes (spark, docs, sf_dir), where docs is the written result of the stage before, and returns a
-DataFrame. All but the last return the columns of `documents`.
+DataFrame. All but the last return the columns of `documents`, whatever further ones there are. Every stage judges
+rows by their own whole texts, also those whose doc_id is null or repeated, and gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -16,27 +17,27 @@ from tapeworks.llm.tokens import public_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a clear language go; the model learns from the labelled ones."""
+    """Documents without letters (null and empty ones too) or without a clear language go; the model learns from the labelled ones."""
     return language.keep_known(docs, language.fit(docs.where(~language.held_out())))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays."""
+    """Of each group of near copies the document with the least doc_id stays (and rows without one, which can't be named)."""
     return simhash.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go; null and empty texts stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays, null and empty texts as they are."""
     return secret_scan.redact(docs, secret_scan.fit(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of every document with their sequences."""
+    """Token pieces of every document row with their sequences; null and empty texts are the end id alone."""
     return packing.pack_documents(docs, public_path())
 
 
