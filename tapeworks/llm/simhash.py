@@ -18,6 +18,8 @@ from .components import components
 from .words import encode
 
 SEED = 42
+#: Chance meetings of a fingerprint in the buckets of all keys, beyond which keys get longer: comparing a few is cheaper than more keys.
+MEETINGS = 8
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -63,12 +65,12 @@ def block_masks(distance: int, blocks: int) -> list[int]:
 
 
 def enough_blocks(rows: int, distance: int = 4) -> int:
-    """The least number of blocks that gives a fingerprint at most about one chance meeting with `rows` others.
+    """The least number of blocks that gives a fingerprint at most MEETINGS chance meetings, about, among so many rows.
 
     More blocks make more keys, each of more bits, so buckets stay small as tables grow; the links found are the same.
     """
     blocks = distance + 2
-    while blocks < 16 and comb(blocks, distance) * rows > 1 << 64 * (blocks - distance) // blocks:
+    while blocks < 16 and comb(blocks, distance) * rows > MEETINGS << 64 * (blocks - distance) // blocks:
         blocks += 1
     return blocks
 
