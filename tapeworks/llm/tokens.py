@@ -52,19 +52,22 @@ class Encoder:
         self.tables: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {" ": ({}, {}), "\n": ({}, {})}
         self.tails: dict[str, bytes] = {}
         self.line_end = self._library(["\n"])[0]
+        # whether an id's piece of text begins with a space, or is a line end: byte-level tokenizers write them as these letters
+        pieces = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+        self.opens = {" ": np.array([p.startswith("\u0120") for p in pieces]), "\n": np.array([p == "\u010a" for p in pieces])}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        # the fast one leaves out offsets, not ids
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str], before: str) -> list[bytes]:
         """Ids of words of letters only, each after a space or a line end, from one text."""
-        enc = self.tok.encode(before + before.join(words), add_special_tokens=False)
-        ids, part = np.array(enc.ids, "<u4").tobytes(), np.array(enc.word_ids)
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        step = 1 if before == " " else 2  # a line end is a part of its own
-        if len(cuts) - 1 != step * len(words):
+        ids = self._library([before + before.join(words)])[0]
+        at = np.flatnonzero(self.opens[before][np.frombuffer(ids, "<u4")]) if self.by_word else ()
+        if len(at) != len(words) or at[0] != 0:
             return self._library([before.strip("\n") + w for w in words])
-        return [ids[4 * cuts[i] : 4 * cuts[i + 1]] for i in range(step - 1, len(cuts) - 1, step)]
+        begin = at + (before == "\n")  # a line end is an id of its own
+        return [ids[a:b] for a, b in zip((4 * begin).tolist(), (4 * np.append(at[1:], len(ids) // 4)).tolist())]
 
     def _learn(self, words: set[str], before: str) -> tuple[dict[str, bytes], list[str]]:
         """The table with all these words, and which of them are too long to be kept in it."""
@@ -111,19 +114,12 @@ class Encoder:
                 whole.append(i)
             else:
                 lines[i] = cut = [line.split(" ") for line in text.split("\n")]
-                for ws in cut:
-                    heads.add(ws[0])
-                    rest.update(ws)
+                heads.update([ws[0] for ws in cut])
+                rest.update(*cut)
         (first, long_heads), (known, long_rest) = self._learn(heads, "\n"), self._learn(rest, " ")
         find = known.__getitem__
         for i, cut in lines.items():
-            parts: list[bytes] = []
-            for ws in cut:
-                parts.append(first[ws[0]])
-                parts.extend(map(find, ws[1:]))
-                parts.append(self.line_end)
-            parts.pop()
-            out[i] = b"".join(parts)
+            out[i] = self.line_end.join([first[ws.pop(0)] + b"".join(map(find, ws)) for ws in cut])
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
         for table, long in ((known, long_rest), (first, long_heads)):
