@@ -20,6 +20,8 @@ from .words import encode
 SEED = 42
 #: Chance meetings of a fingerprint in the buckets of all keys, beyond which keys get longer: comparing a few is cheaper than more keys.
 MEETINGS = 8
+#: Blocks at most: C(8, 4) = 70 keys for a fingerprint. Buckets that are still large are dealt into cells, which loses no link.
+MOST_BLOCKS = 8
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -67,10 +69,12 @@ def block_masks(distance: int, blocks: int) -> list[int]:
 def enough_blocks(rows: int, distance: int = 4) -> int:
     """The least number of blocks that gives a fingerprint at most MEETINGS chance meetings, about, among so many rows.
 
-    More blocks make more keys, each of more bits, so buckets stay small as tables grow; the links found are the same.
+    More blocks make more keys, each of more bits, so buckets stay small as tables grow; the links found are the same. The
+    keys of a fingerprint are bounded: beyond MOST_BLOCKS (or two more than `distance`) blocks it is the buckets that grow,
+    with 8 blocks of 64 bits to 23 fingerprints each among 10^11.
     """
     blocks = distance + 2
-    while blocks < 16 and comb(blocks, distance) * rows > MEETINGS << 64 * (blocks - distance) // blocks:
+    while blocks < MOST_BLOCKS and comb(blocks, distance) * rows > MEETINGS << 64 * (blocks - distance) // blocks:
         blocks += 1
     return blocks
 

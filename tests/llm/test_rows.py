@@ -46,7 +46,8 @@ def test_more_blocks_find_the_same_links(spark, blocks):
 
 
 def test_blocks_follow_the_rows():
-    assert [simhash.enough_blocks(10**k) for k in (0, 6, 7, 9, 11)] == [6, 6, 7, 9, 10]
+    assert [simhash.enough_blocks(10**k) for k in (0, 6, 7, 8, 9, 11, 13)] == [6, 6, 7, 8, 8, 8, 8]
+    assert all(len(simhash.block_masks(4, simhash.enough_blocks(10**k))) <= 70 for k in range(14))
 
 
 def test_repeats_go_by_row(spark):
