@@ -76,5 +76,17 @@ def test_entry_without_llm(spark, monkeypatch):
     assert entry.entry(spark).count() > 0
 
 
+def test_entry_with_a_dependency_missing(spark, monkeypatch):
+    """A package that only the subpackage needs may be absent too."""
+    import importlib
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("tapeworks.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    entry = importlib.import_module("__spark_entry__")
+    assert set(entry.queries()) == set(registry.QUERIES)
+
+
 def test_plain():
     assert plain(float("nan")) is None and plain((1.00000000001, True)) == (1.0, True)
