@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that it can express."""
 
-from . import chat, decontaminate, embedding_dedup, html_text, language, packing, secret_scan, simhash, substring_dedup, token_files
+from . import chat, decontaminate, embedding_dedup, html_text, language, packing, secret_scan, simhash, substring_dedup, token_files, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_files": token_files.query,
     "op9_embedding_dedup": embedding_dedup.query,
     "op10_html_extraction": html_text.query,
+    "op13_embedding_whitening": whitening.query,
 }
 
 ORACLES = {
