@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that it can express."""
 
-from . import chat, decontaminate, embedding_dedup, html_text, language, order_minhash, packing, secret_scan, simhash, substring_dedup, token_files, whitening
+from . import chat, decontaminate, embedding_dedup, html_text, language, order_minhash, packing, prefix_trie, secret_scan, simhash, substring_dedup, token_files, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_files": token_files.query,
     "op9_embedding_dedup": embedding_dedup.query,
     "op10_html_extraction": html_text.query,
+    "op11_conversation_prefix_trie": prefix_trie.query,
     "op12_document_fingerprints": order_minhash.query,
     "op13_embedding_whitening": whitening.query,
 }
@@ -21,4 +22,5 @@ ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op9_embedding_dedup": embedding_dedup.ORACLE,
+    "op11_conversation_prefix_trie": prefix_trie.ORACLE,
 }
