@@ -63,11 +63,11 @@ def swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swaps_of(table(spark, sf_dir, "events"))
 
 
-def swaps_of(events: DataFrame) -> DataFrame:
-    """Swaps of a table or stream of events."""
+def swaps_of(events: DataFrame, *more: Column) -> DataFrame:
+    """Swaps of a table or stream of events, with `more` of its columns."""
     return events.select(
         (F.col("user_id") % 10).alias("mint"), F.col("user_id").alias("trader"), F.col("event_type").isin("click", "view", "purchase").cast("int").alias("is_buy"),
-        F.col("value").alias("volume"), (1 + (F.col("event_id") * 7919 % 1000) / 1000).alias("price"), epoch("ts").alias("t"),
+        F.col("value").alias("volume"), (1 + (F.col("event_id") * 7919 % 1000) / 1000).alias("price"), epoch("ts").alias("t"), *more,
     )
 
 
