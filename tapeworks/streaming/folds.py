@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from .ordered import Fold
+from .ordered import NO_KEY, Fold
 
 BAR = "mint long, bar_start long, open double, high double, low double, close double, volume double, trades long, buys long, sells long, buy_volume double, vwap_close double, late boolean"
 
@@ -25,9 +25,9 @@ class _Bars(StatefulProcessor):
         self.sums = handle.getValueState("sums", "t0 double, s0 long, p0 double, t1 double, s1 long, p1 double, high double, low double, volume double, trades long, buys long, sells long, bought double, tail_quote double, tail_volume double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mint, start = key
-        if start is None or start != start:  # the rows of a heartbeat
+        if key[0] == NO_KEY:
             return
+        mint, start = map(int, key[0].split(":"))
         end, late, new = start + self.width, 0, None
         closed = end <= timerValues.getCurrentWatermarkInMs()
         for f in rows:
@@ -52,7 +52,7 @@ class _Bars(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, _, p0, _, _, p1, high, low, volume, trades, buys, sells, bought, quote, tail = self.sums.get()
         self.sums.clear()
-        yield self.frame(key[0], key[1], [p0, high, low, p1, volume, trades, buys, sells, bought, quote / tail if tail else p1], False)
+        yield self.frame(*map(int, key[0].split(":")), [p0, high, low, p1, volume, trades, buys, sells, bought, quote / tail if tail else p1], False)
 
     def frame(self, mint, start, values, late) -> pd.DataFrame:
         return pd.DataFrame([(mint, start // 1000, *values, late)], columns=[c.split()[0] for c in BAR.split(", ")]).astype(object)
@@ -70,18 +70,18 @@ def merged(a: tuple | None, b: tuple) -> tuple:
 
 
 def bars(stream: DataFrame, seconds: int, tail: int, lateness: str) -> DataFrame:
-    """Bars of a stream of swaps (mint, is_buy, volume, price, t, seq), each emitted once, when the watermark passes its end.
+    """Bars of a stream of swaps (mint, is_buy, volume, price, t, seq, and ms, t in whole milliseconds), each emitted once, when the watermark passes its end.
 
     Rows of a bar that is closed don't change it: they come out as a row of that bar with late = true and their number in `trades`. Open and
-    close are by (t, seq). A mint's bars are keys of their own, so a hot mint is many groups. Rows without t only move the watermark; null
+    close are by (t, seq). A mint's bars are keys of their own, so a hot mint is many groups. Rows without a mint only move the watermark; null
     prices and volumes must be filtered out before.
     """
     width = 1000 * seconds
-    ms = F.floor(F.col("t") * 1000).cast("long")
-    rows = stream.withColumn("_ts", F.timestamp_millis(ms)).withWatermark("_ts", lateness).withColumn("ms", F.unix_millis("_ts"))
-    rows = rows.select(F.col("mint").cast("long").alias("mint"), (F.floor(F.col("ms") / width) * width).alias("bar"), "ms", "t", "seq", "is_buy", "volume", "price")
-    rows = rows.withColumn("bar", F.when(F.col("mint").isNotNull(), F.col("bar")))
-    return rows.groupBy("mint", "bar").transformWithStateInPandas(_Bars(1000 * tail, width), BAR, "Append", "EventTime")
+    rows = stream.withColumn("_ts", F.timestamp_millis("ms")).withWatermark("_ts", lateness).withColumn("ms", F.unix_millis("_ts"))
+    bar = F.concat_ws(":", F.col("mint").cast("long"), (F.floor(F.col("ms") / width) * width).cast("long"))
+    key = F.when(F.col("mint").isNotNull() & F.col("ms").isNotNull(), bar).otherwise(NO_KEY).alias("key")
+    rows = rows.select(key, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("ms", "t", "seq", "is_buy", "volume", "price")])
+    return rows.groupBy("key").transformWithStateInPandas(_Bars(1000 * tail, width), BAR, "Append", "EventTime")
 
 
 def vpin(bar_rows: DataFrame, least: int) -> DataFrame:

@@ -22,6 +22,8 @@ from ..sources.shared import shared_folder
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The key of rows that have none.
+NO_KEY = ""
 
 
 class Fold:
@@ -58,13 +60,13 @@ class _Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark, first = timerValues.getCurrentWatermarkInMs(), None
-        if key[0] is None or key[0] != key[0]:
+        if key[0] == NO_KEY:
             return
         for frame in rows:
-            behind = frame[self.time] <= mark
-            if behind.any():
-                yield self.frame([tuple(r.get(c) for c in self.out) for r in _dicts(frame[behind])], True)
-            wait = [(r[self.time], json.dumps(r)) for r in _dicts(frame[~behind])]
+            all_rows = list(zip(frame["ms"].tolist(), frame["row"].tolist()))
+            wait = [r for r in all_rows if r[0] > mark]
+            if len(wait) < len(all_rows):
+                yield self.frame([tuple(json.loads(r).get(c) for c in self.out) for ms, r in all_rows if ms <= mark], True)
             if wait:
                 self.held.appendList(wait)
                 first = min([ms for ms, _ in wait] + ([] if first is None else [first]))
@@ -110,23 +112,20 @@ class _Ordered(StatefulProcessor):
         pass
 
 
-def _dicts(frame: pd.DataFrame) -> list[dict]:
-    return [{c: None if v is pd.NaT or v != v else v for c, v in r.items()} for r in frame.astype(object).to_dict("records")]
-
-
 def ordered(stream: DataFrame, key: str, ms: str, lateness: str, ties: list[str], fold: Fold, schema: str) -> DataFrame:
     """What `fold` emits (columns of `schema`, and late = false), and late rows (their columns of the same names, late = true).
 
-    ms: a long column, milliseconds since 1970. Rows of one millisecond go in the order of `ties`, which may not be null. A row is late if the
-    watermark, `lateness` behind the newest row of earlier batches, has reached it. Rows without a key or time only move the watermark.
+    ms: a long column, milliseconds since 1970. Rows of one millisecond go in the order of `ties`, which may not be null; other nulls are left out
+    of a row's dict. A row is late if the watermark, `lateness` behind the newest row of earlier batches, has reached it. Rows without a
+    key or time only move the watermark.
     """
-    columns = list(dict.fromkeys([key, ms, *ties, *stream.columns]))
     marked = stream.withColumn("_ts", F.timestamp_millis(ms)).withWatermark("_ts", lateness)
-    # the mark's column itself stays behind, so that Spark gives late rows to the operator
-    rows = marked.select(*columns, F.col("_ts").isNull().alias("_none")).withColumn(key, F.when(~F.col("_none"), F.col(key))).drop("_none")
+    named = F.when(F.col("_ts").isNotNull(), F.col(key).cast("string"))
+    # the mark's column itself stays behind, so that Spark gives late rows to the operator; JSON keeps integers beside nulls
+    rows = marked.select(F.coalesce(named, F.lit(NO_KEY)).alias("key"), F.coalesce(F.unix_millis("_ts"), F.lit(0)).alias("ms"), F.to_json(F.struct(*stream.columns)).alias("row"))
     kinds = T._parse_datatype_string(schema)
     made = T.StructType([*kinds.fields, T.StructField("late", T.BooleanType())])
-    return rows.groupBy(key).transformWithStateInPandas(_Ordered(fold, ms, ties, [f.name for f in kinds.fields]), made, "Append", "EventTime")
+    return rows.groupBy("key").transformWithStateInPandas(_Ordered(fold, ms, ties, [f.name for f in kinds.fields]), made, "Append", "EventTime")
 
 
 def arrivals(rows: DataFrame, ms: str, number: Column, lateness_ms: int, batches: int) -> list[DataFrame]:
