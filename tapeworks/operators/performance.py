@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import scan
 
-def running(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+
+def running(trades: DataFrame, keys: list[str], order: list[str], slice_: Column) -> DataFrame:
     """Running volumes, average prices, realised and unrealised result after each trade.
 
     Average cost; while nothing was bought the realised part is 0. The mark is the trade's own price; net_pnl takes off
-    the trade's fee, net_pnl_all_fees all fees so far. A key's trades are one window partition and stream through it.
+    the trade's fee, net_pnl_all_fees all fees so far. slice_ cuts a key's order into parts that fit a task (see scans.scan).
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    cols = trades
+    sums = {}
     for side in ("BUY", "SELL"):
         own = F.col("side") == side
         name = side.lower()
-        cols = cols.withColumn(f"{name}_volume", F.sum(F.when(own, F.col("amount")).otherwise(0.0)).over(w)).withColumn(f"{name}_quote", F.sum(F.when(own, F.col("price") * F.col("amount")).otherwise(0.0)).over(w))
-    cols = cols.withColumn("cum_fee", F.sum("fee").over(w)).withColumn("cum_volume", F.sum(F.col("price") * F.col("amount")).over(w))
-    return _results(cols)
+        sums |= {f"{name}_volume": F.when(own, F.col("amount")).otherwise(0.0), f"{name}_quote": F.when(own, F.col("price") * F.col("amount")).otherwise(0.0)}
+    sums |= {"cum_fee": F.col("fee"), "cum_volume": F.col("price") * F.col("amount")}
+    return _results(scan(trades, keys, order, slice_, sums))
 
 
 def _results(cols: DataFrame) -> DataFrame:
@@ -61,13 +62,24 @@ def unrealized(mark: Column) -> Column:
     return F.when(net > 0, net * (mark - F.col("buy_price"))).when(net < 0, -net * (F.col("sell_price") - mark)).otherwise(0.0)
 
 
-def drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, limit: float) -> DataFrame:
+def drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, limit: float, slice_: Column) -> DataFrame:
     """Greatest fall of the running result from its peak (at least 0), and whether it passed the limit."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    fall = rows.withColumn("_fall", F.max(F.greatest(F.col(pnl), F.lit(0.0))).over(w) - F.col(pnl))
+    fall = scan(rows, keys, order, slice_, peaks={"_peak": F.greatest(F.col(pnl), F.lit(0.0))}).withColumn("_fall", F.col("_peak") - F.col(pnl))
     return fall.groupBy(*keys).agg(F.max("_fall").alias("max_drawdown")).withColumn("tripped", F.col("max_drawdown") > limit)
 
 
+def global_drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, limit: float, slice_: Column, ts: str = "ts") -> DataFrame:
+    """One row: the same for the sum of all keys' newest results, and when it first passed the limit (null if never).
+
+    order must be complete over all rows. Every row changes the sum by its key's result less the one before, so the sum is a scan without a key.
+    """
+    steps = scan(rows, keys, order, slice_, before={"_was": F.col(pnl)})
+    steps = steps.select(*order, slice_.alias("_part"), (F.col(pnl) - F.coalesce("_was", F.lit(0.0))).alias("_step"))
+    total = scan(steps, [], order, F.col("_part"), sums={"_pnl": F.col("_step")})
+    fall = scan(total, [], order, F.col("_part"), peaks={"_peak": F.greatest(F.col("_pnl"), F.lit(0.0))}).withColumn("_fall", F.col("_peak") - F.col("_pnl"))
+    return fall.agg(F.max("_fall").alias("max_drawdown"), F.min(F.when(F.col("_fall") > limit, F.col(ts))).alias("tripped_at")).withColumn("tripped", F.col("tripped_at").isNotNull())
+
+
 def lp_result(p: DataFrame, now: Column) -> DataFrame:
     """Result of liquidity positions against holding; null unless both prices are positive."""
     ok = (F.col("entry_price") > 0) & (F.col("current_price") > 0)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def by_time() -> Window:
     return Window.partitionBy("mint").orderBy("t")
@@ -60,14 +62,12 @@ def short_trend(tape: DataFrame, low: float, high: float, ends: int = 3, least:
 
 def confirmed(tape: DataFrame, seconds: int, share: float = 0.8, least: int = 3) -> DataFrame:
     """Whether at least `least` swaps within `seconds` (itself included) trade at `share` of the price or more."""
-    near = F.collect_list("price").over(by_time().rangeBetween(-seconds, seconds))
-    return tape.withColumn("_near", near).withColumn("confirmed", F.size(F.filter("_near", lambda x: x >= share * F.col("price"))) >= least).drop("_near")
+    return scans.supported(tape, ["mint"], "t", "price", seconds, share, least, "confirmed")
 
 
 def branching(tape: DataFrame, seconds: int) -> DataFrame:
     """Successors of the same side within `seconds`, strictly later."""
-    w = Window.partitionBy("mint", "is_buy").orderBy("t")
-    return tape.withColumn("successors", F.count("*").over(w.rangeBetween(0, seconds)) - F.count("*").over(w.rangeBetween(0, 0)))
+    return scans.followers(tape, ["mint", "is_buy"], "t", seconds, "successors")
 
 
 def log_returns(tape: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def trade_performance(spark, d):
 @query("trade_last_rows", f"with {RUN} select pair, connector, order_id, line, round(buy_volume, 2) buy_volume, round(net_position, 2) net_position, round(realized, 2) realized, round(unrealized - fee + realized, 2) net_pnl from (select *, bv buy_volume, bv - sv net_position from q) where rn <= 3")
 def trade_last_rows(spark, d):
     """The running view of the three newest trades of each pair and connector."""
-    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER)
+    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER, v.month("ts"))
     kept = history.newest_of(rows, ["pair", "connector"], v.TRADE_ORDER, 3)
     return kept.select("pair", "connector", "order_id", "line", *[F.round(c, 2).alias(c) for c in ("buy_volume", "net_position", "realized", "net_pnl")])
 
@@ -171,8 +171,22 @@ def cumulative_fees(spark, d):
 
 @query("max_drawdown", f"with {RUN}, f as (select pair, connector, max(greatest(realized + unrealized - cf, 0)) over (partition by pair, connector order by ts, order_id, line, part, supp, quote rows unbounded preceding) - (realized + unrealized - cf) fall from q) select pair, connector, round(max(fall), 2) max_drawdown, max(fall) > 100000 tripped from f group by pair, connector")
 def max_drawdown(spark, d):
-    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER)
-    return performance.drawdown(rows, ["pair", "connector"], v.TRADE_ORDER, "net_pnl_all_fees", 100_000.0).withColumn("max_drawdown", F.round("max_drawdown", 2))
+    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER, v.month("ts"))
+    return performance.drawdown(rows, ["pair", "connector"], v.TRADE_ORDER, "net_pnl_all_fees", 100_000.0, v.month("ts")).withColumn("max_drawdown", F.round("max_drawdown", 2))
+
+
+@query(
+    "global_drawdown",
+    f"""with {RUN}, s as (
+    select *, realized + unrealized - cf as pnl, lag(realized + unrealized - cf) over (partition by pair, connector order by {v.TRADE_BY}) was from q),
+  g as (select ts, {v.TRADE_BY.split(", ", 1)[1]}, sum(pnl - coalesce(was, 0)) over (order by {v.TRADE_BY} rows unbounded preceding) pnl from s),
+  f as (select ts, max(greatest(pnl, 0)) over (order by {v.TRADE_BY} rows unbounded preceding) - pnl fall from g)
+  select round(max(fall), 0) max_drawdown, min(ts) filter (fall > 1000000) tripped_at, max(fall) > 1000000 tripped from f""",
+)
+def global_drawdown(spark, d):
+    """The fall of all pairs' results together, and when it would stop the strategy."""
+    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER, v.month("ts"))
+    return performance.global_drawdown(rows, ["pair", "connector"], v.TRADE_ORDER, "net_pnl_all_fees", 1_000_000.0, v.month("ts")).withColumn("max_drawdown", F.round("max_drawdown", 0))
 
 
 POS = v.TRADES + """, s as (select pair, connector, sum(case side when 'BUY' then amount else 0 end) bb, sum(case side when 'SELL' then amount else 0 end) sb,

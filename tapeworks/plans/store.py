@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -43,8 +42,7 @@ FILL_KEYS = ["config_file_path", "connector_name", "trading_pair"]
   f as (select *, cum - lag(cum) over (partition by config_file_path, connector_name, trading_pair order by {v.TRADE_BY}) step from c)
   select config_file_path, connector_name, trading_pair, k::bigint k, round(amount, 6) amount, round(cum, 6) cum_fees_in_quote, round(step, 6) trade_fee from f""")
 def archive_fills(spark, d):
-    rows = archive.with_cumulative_fees(archive.plain(_archived(spark, d), "trade_fills"), FILL_KEYS, v.TRADE_ORDER)
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*FILL_KEYS).orderBy(*v.TRADE_ORDER)).cast("long"))
+    rows = archive.with_cumulative_fees(archive.plain(_archived(spark, d), "trade_fills"), FILL_KEYS, v.TRADE_ORDER, v.month("ts"))
     return rounded(rows.select(*FILL_KEYS, "k", "amount", "cum_fees_in_quote", "trade_fee"), 6, "amount", "cum_fees_in_quote", "trade_fee")
 
 

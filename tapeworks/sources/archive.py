@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scans import scan
+
 #: Amounts are stored as integers in millionths.
 SCALE = 1e6
 NAMES = {"market": "connector_name", "symbol": "trading_pair"}
@@ -26,11 +28,13 @@ def plain(df: DataFrame, table: str) -> DataFrame:
     return rows.withColumnsRenamed({a: b for a, b in NAMES.items() if a in df.columns})
 
 
-def with_cumulative_fees(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add the fees so far of each key and their step from the fill before (null for the first)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = fills.withColumn("cum_fees_in_quote", F.sum("trade_fee_in_quote").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("trade_fee", F.col("cum_fees_in_quote") - F.lag("cum_fees_in_quote").over(w))
+def with_cumulative_fees(fills: DataFrame, keys: list[str], order: list[str], slice_: Column) -> DataFrame:
+    """Add each fill's number k in its key, the fees so far, and their step from the fill before (null for the first).
+
+    slice_ cuts a key's order into parts that fit a task (see scans.scan).
+    """
+    rows = scan(fills, keys, order, slice_, {"cum_fees_in_quote": F.col("trade_fee_in_quote"), "k": F.lit(1).cast("long")})
+    return rows.withColumn("trade_fee", F.when(F.col("k") > 1, F.coalesce("trade_fee_in_quote", F.lit(0.0))))
 
 
 def discover(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -14,6 +14,11 @@ def epoch(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})") / F.lit(1e6)
 
 
+def month(ts: str) -> Column:
+    """Months since 1970: a slice of a key's history."""
+    return F.year(ts) * 12 + F.month(ts)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -213,7 +213,7 @@ def test_summary_is_the_last_running_row(spark):
     """Sells before any buy, a flat position, and a single fill."""
     rows = [("a", "SELL", 5.0, 10.0, 0.1, 1), ("a", "BUY", 5.0, 8.0, 0.1, 2), ("b", "BUY", 1.0, 3.0, 0.2, 1), ("c", "SELL", 2.0, 4.0, -0.5, 1), ("c", "SELL", 2.0, 5.0, 0.5, 2)]
     trades = spark.createDataFrame(rows, "pair string, side string, amount double, price double, fee double, ts long")
-    run = performance.running(trades, ["pair"], ["ts"])
+    run = performance.running(trades, ["pair"], ["ts"], F.col("ts"))
     last = history.keep_last(run, ["pair"], ["ts"])
     names = ["pair", "buy_volume", "sell_volume", "realized", "unrealized", "net_pnl", "net_pnl_all_fees", "cum_volume"]
     got = sorted(map(tuple, performance.summary(trades, ["pair"], ["ts"]).select(*names).collect()))
