@@ -33,3 +33,10 @@ def volume_for_price(book: DataFrame, price: Column) -> DataFrame:
     """Amount and quote volume at the price or better."""
     good = F.when(F.col("side") == "ask", F.col("price") <= price).otherwise(F.col("price") >= price)
     return book.groupBy("pair", "side").agg(F.sum(F.when(good, F.col("amount")).otherwise(0.0)).alias("volume"), F.sum(F.when(good, F.col("amount") * F.col("price")).otherwise(0.0)).alias("quote_volume"))
+
+
+def summary(book: DataFrame) -> DataFrame:
+    """Best prices, levels of both sides, the spread, and whether the sides cross."""
+    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
+    s = book.groupBy("pair").agg(F.max(F.when(bid, F.col("price"))).alias("best_bid"), F.min(F.when(ask, F.col("price"))).alias("best_ask"), F.count_if(bid).alias("bids"), F.count_if(ask).alias("asks"))
+    return s.withColumns({"spread": F.col("best_ask") - F.col("best_bid"), "crossed": F.col("best_bid") >= F.col("best_ask")})

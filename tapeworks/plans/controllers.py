@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import controllers, indicators
+from ..operators import book, controllers, indicators
 from ..sources import views as v
 from .market import BARS, HOUR, _bars, rounded
 from .registry import query
@@ -142,9 +142,7 @@ SIDES = v.BOOK + ", s as (select pair, max(price) filter (side = 'bid') best_bid
 @query("book_summary", f"with {SIDES} select pair, best_bid, best_ask, bids, asks, best_ask - best_bid spread, best_bid >= best_ask crossed from s")
 def book_summary(spark, d):
     """Best prices, levels of both sides and the spread of each book."""
-    bid, ask = F.col("side") == "bid", F.col("side") == "ask"
-    s = v.book(spark, d).groupBy("pair").agg(F.max(F.when(bid, F.col("price"))).alias("best_bid"), F.min(F.when(ask, F.col("price"))).alias("best_ask"), F.count_if(bid).alias("bids"), F.count_if(ask).alias("asks"))
-    return s.withColumns({"spread": F.col("best_ask") - F.col("best_bid"), "crossed": F.col("best_bid") >= F.col("best_ask")})
+    return book.summary(v.book(spark, d))
 
 
 @query("top_shares", f"with {v.SWAPS}, s as (select mint, trader, sum(volume) v from swaps_v where is_buy = 1 group by all), h as (select mint, v / sum(v) over (partition by mint) s, row_number() over (partition by mint order by v desc, trader) r from s) select mint, round(sum(s) filter (r <= 1), 6) top1, round(sum(s) filter (r <= 3), 6) top3, round(sum(s) filter (r <= 5), 6) top5, round(sum(s * s) filter (r <= 5) / 0.2, 6) hhi_top5 from h group by mint")

@@ -81,8 +81,17 @@ SWAPS = """swaps_v as (select user_id % 10 mint, user_id trader, (event_type in
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order books of the first ten pairs."""
+    return book_of(table(spark, sf_dir, "lineitem").where("l_partkey % 40 < 10"))
+
+
+def full_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order books of all pairs, from every line."""
+    return book_of(table(spark, sf_dir, "lineitem"))
+
+
+def book_of(t: DataFrame) -> DataFrame:
     """Order-book levels by pair: asks from open lines, bids from others, at rounded prices."""
-    t = table(spark, sf_dir, "lineitem").where("l_partkey % 40 < 10")
     side = F.when(F.col("l_linestatus") == "O", "ask").otherwise("bid")
     shift = F.when(F.col("l_linestatus") == "O", 2000).otherwise(0)
     return t.groupBy(F.concat(F.lit("P"), F.col("l_partkey") % 40).alias("pair"), side.alias("side"), (F.floor(F.col("l_extendedprice") / F.col("l_quantity")) + shift).cast("double").alias("price")).agg(
@@ -92,6 +101,7 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOOK = """book_v as (select 'P' || (l_partkey % 40) pair, case l_linestatus when 'O' then 'ask' else 'bid' end side,
   (floor(l_extendedprice / l_quantity) + case l_linestatus when 'O' then 2000 else 0 end)::double price, sum(l_quantity) amount from lineitem where l_partkey % 40 < 10 group by all)"""
+FULL_BOOK = BOOK.replace(" where l_partkey % 40 < 10", "")
 
 
 def executors(spark: SparkSession, sf_dir: str) -> DataFrame:
