@@ -23,8 +23,8 @@ def bollinger(bars: DataFrame, length: int, width: float, low: float = 0.0, high
 
 
 def ema(bars: DataFrame, length: int) -> DataFrame:
-    """(mint, bar_start, ema): null before `length` bars, then their mean, then the recurrence; one mint's bars in one task."""
-    return recurrences.by_mint(bars, lambda high, low, close: (recurrences.ema(close, length),), "ema double").select("mint", "bar_start", "ema")
+    """(mint, bar_start, ema): null before `length` bars, then their mean, then the recurrence."""
+    return recurrences.average(bars, "close", length, "ema").select("mint", "bar_start", "ema")
 
 
 def spread_zscore(pairs: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Indicators that each bar's value feeds into the next one's: MACD, ATR, Supertrend.
+"""Indicators that each bar's value feeds into the next one's: EMA, MACD, ATR, Supertrend.
 
-Bars are already aggregated, so a mint has one row for a bar's length of time; those of one mint meet in one task.
+Bars are already aggregated, so a mint has one row for a bar's length of time; those of one mint meet in one task. The
+linear recurrences are sums in windows; only Supertrend, whose bands depend on which one was crossed, runs in Python.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +64,47 @@ def supertrend_of(high: np.ndarray, low: np.ndarray, close: np.ndarray, length:
     return line, direction
 
 
+#: Natural logarithm by which an old value's weight has fallen at the end of a part: 1e-20, and it still counts for another part.
+FADED = 46.0
+
+
+def recurrence(bars: DataFrame, value: str, length: int, alpha: float, name: str) -> DataFrame:
+    """Add x[i] = alpha * value + (1 - alpha) * x[i - 1] of each mint, from the mean of its first `length` values on; null before and where value is null.
+
+    A value's step is the affine map x -> alpha * value + q * x, q = 1 - alpha. A mint's steps are cut into parts; inside one the maps compose to
+    x -> y + q^(r + 1) * x, in which y is a running sum of values weighted by powers of q. A part starts from the ends of the two before it, for
+    over a whole part a weight fades to 1e-20 and over two to 1e-40, which a double can't hold beside the rest.
+    """
+    q = 1 - alpha
+    size = ceil(FADED / -log(q)) if q > 0 else 1
+    mint = Window.partitionBy("mint")
+    rows = bars.withColumn("_i", F.when(F.col(value).isNotNull(), F.count(value).over(mint.orderBy("bar_start").rowsBetween(Window.unboundedPreceding, 0)) - 1))
+    rows = rows.withColumn("_seed", F.avg(F.when(F.col("_i") < length, F.col(value))).over(mint))
+    step = F.when(F.col("_i") >= length, F.col("_i") - length)
+    rows = rows.withColumns({"_m": F.floor(step / size), "_r": step % size})
+    part = Window.partitionBy("mint", "_m").orderBy("bar_start").rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda e: F.pow(F.lit(q), e)
+    rows = rows.withColumn("_y", power(F.col("_r")) * F.sum(alpha * F.col(value) / power(F.col("_r"))).over(part))
+    end = F.max(F.when(F.col("_r") == size - 1, F.col("_y")))
+    along = mint.orderBy("_m")
+    rows = rows.withColumns({"_e1": end.over(along.rangeBetween(-1, -1)), "_e2": end.over(along.rangeBetween(-2, -2))})
+    start = F.when(F.col("_m") == 0, F.col("_seed")).otherwise(F.col("_e1") + q**size * F.when(F.col("_m") == 1, F.col("_seed")).otherwise(F.col("_e2")))
+    x = F.when(F.col("_i") == length - 1, F.col("_seed")).when(F.col("_m").isNotNull(), power(F.col("_r") + 1) * start + F.col("_y"))
+    return rows.withColumn(name, x).drop("_i", "_seed", "_m", "_r", "_y", "_e1", "_e2")
+
+
+def average(bars: DataFrame, value: str, length: int, name: str) -> DataFrame:
+    """Add the exponential moving average of a column."""
+    return recurrence(bars, value, length, 2 / (length + 1), name)
+
+
+def true_range_average(bars: DataFrame, length: int, name: str) -> DataFrame:
+    """Add Wilder's average true range; the first bar's range is high less low."""
+    before = F.coalesce(F.lag("close").over(Window.partitionBy("mint").orderBy("bar_start")), F.col("close"))
+    rows = bars.withColumn("_before", before).withColumn("_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_before")), F.abs(F.col("low") - F.col("_before"))))
+    return recurrence(rows, "_range", length, 1 / length, name).drop("_before", "_range")
+
+
 def by_mint(bars: DataFrame, fn, added: str) -> DataFrame:
     """Add double columns that fn makes of a mint's bars in order of time; NaN becomes null."""
     names = [c.split()[0] for c in added.split(", ")]
@@ -78,13 +122,9 @@ def by_mint(bars: DataFrame, fn, added: str) -> DataFrame:
 
 def macd(bars: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
     """Bars with macd, macd_signal and macd_hist; null until enough bars."""
-
-    def fn(high, low, close):
-        line = ema(close, fast) - ema(close, slow)
-        mean = ema(line, signal)
-        return line, mean, line - mean
-
-    return by_mint(bars, fn, "macd double, macd_signal double, macd_hist double")
+    rows = average(average(bars, "close", fast, "_fast"), "close", slow, "_slow")
+    rows = rows.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    return average(rows, "macd", signal, "macd_signal").withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
 def macd_bands_signal(bands: DataFrame, lines: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -108,13 +148,9 @@ def volatility_shift(bars: DataFrame, length: int, fast: int, slow: int, signal:
     histogram's sign by half the natr at most per unit. The MACD's mean and sample deviation are those of the mint's bars; each
     bar is moved by its own natr (where only the newest bar's price is wanted, take its row)."""
 
-    def fn(high, low, close):
-        line = ema(close, fast) - ema(close, slow)
-        return line, line - ema(line, signal), atr(high, low, close, length)
-
-    rows = by_mint(bars, fn, "macd double, macd_hist double, atr double")
-    of = rows.groupBy("mint").agg(F.avg("macd").alias("_m"), F.stddev_samp("macd").alias("_s"))
-    rows = rows.join(of, "mint")
+    rows = true_range_average(macd(bars, fast, slow, signal), length, "atr")
+    of = Window.partitionBy("mint")
+    rows = rows.withColumns({"_m": F.avg("macd").over(of), "_s": F.stddev_samp("macd").over(of)})
     score = -F.try_divide(F.col("macd") - F.col("_m"), "_s")
     way = F.when(F.col("macd_hist") > 0, 1.0).otherwise(-1.0)
     rows = rows.withColumns({"natr": F.try_divide("atr", "close"), "_score": score})

@@ -70,8 +70,23 @@ def branching(tape: DataFrame, seconds: int) -> DataFrame:
     return scans.followers(tape, ["mint", "is_buy"], "t", seconds, "successors")
 
 
+#: Seconds of a slice of a mint's tape, for values that run through all of it.
+SLICE = 86_400
+
+
+def running(tape: DataFrame, **of) -> DataFrame:
+    """scans.scan along each mint's tape."""
+    return scans.scan(tape, ["mint"], ["t"], F.floor(F.col("t") / SLICE), **of)
+
+
 def log_returns(tape: DataFrame) -> DataFrame:
-    return tape.withColumn("log_return", F.ln(F.try_divide("price", F.lag("price").over(by_time()))))
+    rows = running(tape, before={"_was": F.col("price")})
+    return rows.withColumn("log_return", F.ln(F.try_divide("price", "_was"))).drop("_was")
+
+
+def gaps(tape: DataFrame) -> DataFrame:
+    """Seconds since the mint's swap before; null for its first."""
+    return running(tape, before={"_was": F.col("t")}).withColumn("gap", F.col("t") - F.col("_was")).drop("_was")
 
 
 def impact(tape: DataFrame, floor: float = 0.01, least: int = 10) -> DataFrame:
@@ -104,7 +119,7 @@ def flow(tape: DataFrame) -> DataFrame:
 
 def streaks(tape: DataFrame) -> DataFrame:
     """Longest run of sells, changes of side, fall of the last price from the highest."""
-    rows = tape.withColumns({"_isle": F.sum("is_buy").over(by_time().rowsBetween(Window.unboundedPreceding, 0)), "_was": F.lag("is_buy").over(by_time())})
+    rows = running(tape, sums={"_isle": F.col("is_buy")}, before={"_was": F.col("is_buy")})
     runs = rows.groupBy("mint", "_isle").agg(F.count_if(F.col("is_buy") == 0).alias("_run")).groupBy("mint").agg(F.max("_run").alias("sell_streak"))
     rest = rows.groupBy("mint").agg(F.count_if(F.col("is_buy") != F.col("_was")).alias("switches"), (F.max_by("price", "t") / F.max("price") - 1).alias("drawdown"))
     return runs.join(rest, "mint")

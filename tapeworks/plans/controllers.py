@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import book, controllers, indicators
+from ..operators import book, controllers, indicators, tape
 from ..sources import views as v
 from .market import BARS, HOUR, _bars, rounded
 from .registry import query
@@ -163,7 +163,7 @@ def size_moments(spark, d):
 
 @query("arrival_gaps", f"with {v.SWAPS}, r as (select mint, t - lag(t) over (partition by mint order by t) gap from swaps_v) select mint, count(*) gaps, round(min(gap), 4) shortest, round(median(gap), 4) middle, round(max(gap), 4) longest from r where gap > 0 group by mint")
 def arrival_gaps(spark, d):
-    r = v.swaps(spark, d).select("mint", (F.col("t") - F.lag("t").over(Window.partitionBy("mint").orderBy("t"))).alias("gap")).where("gap > 0")
+    r = tape.gaps(v.swaps(spark, d)).where("gap > 0")
     return r.groupBy("mint").agg(F.count("*").alias("gaps"), F.round(F.min("gap"), 4).alias("shortest"), F.round(F.median("gap"), 4).alias("middle"), F.round(F.max("gap"), 4).alias("longest"))
 
 

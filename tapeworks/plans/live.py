@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import history, indicators, orders, recurrences
+from ..operators import history, indicators, orders, recurrences, tape
 from ..sources import views as v
 from ..streaming import streams
 from .market import BARS, HOUR, _bars, rounded
@@ -128,7 +128,7 @@ def ring_buffers(spark, d):
 @query("backfill_gaps", f"with {v.SWAPS}, g as (select mint, t, t - lag(t) over (partition by mint order by t) gap from swaps_v) select mint, round(t * 1000)::bigint ms, round(coalesce(least(greatest(1.5 * gap, 60), 1800), 300), 3) wanted from g")
 def backfill_gaps(spark, d):
     """How much to fetch for the gap before each swap."""
-    rows = v.swaps(spark, d).select("mint", "t", (F.col("t") - F.lag("t").over(Window.partitionBy("mint").orderBy("t"))).alias("gap"))
+    rows = tape.gaps(v.swaps(spark, d))
     return rows.select("mint", F.round(F.col("t") * 1000).cast("long").alias("ms"), F.round(streams.backfill_seconds("gap"), 3).alias("wanted"))
 
 

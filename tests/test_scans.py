@@ -74,3 +74,30 @@ def test_global_drawdown(spark):
     assert (got.max_drawdown, got.tripped_at, got.tripped) == (36.0, 4, True)
     calm = performance.global_drawdown(df, ["k"], ["ts"], "pnl", 36.0, F.col("ts")).first()
     assert (calm.tripped_at, calm.tripped) == (None, False)
+
+
+@pytest.mark.parametrize("length, alpha", [(3, 0.5), (12, 2 / 13), (5, 1.0), (40, 1 / 40)])
+def test_recurrences_by_parts(spark, length, alpha):
+    """Series of several parts, with nulls before and between, a negative one, and one that is too short."""
+    import numpy as np
+
+    from tapeworks.operators import recurrences
+
+    pick = random.Random(4)
+    series = {1: [None] * 7 + [pick.uniform(50, 150) for _ in range(3000)], 2: [pick.uniform(-1, 1) for _ in range(900)], 3: [1.0] * (length - 1), 4: [pick.choice([None, 5.0, 6.0]) for _ in range(400)]}
+    df = spark.createDataFrame([(k, i, x) for k, xs in series.items() for i, x in enumerate(xs)], "mint long, bar_start long, x double").repartition(6)
+    got = {(r.mint, r.bar_start): r.e for r in recurrences.recurrence(df, "x", length, alpha, "e").collect()}
+    for k, xs in series.items():
+        known = [i for i, x in enumerate(xs) if x is not None]
+        want = recurrences.smoothed(np.array([xs[i] for i in known], float), length, alpha)
+        for i, w in zip(known, want):
+            assert (got[k, i] is None) == bool(np.isnan(w)) and (np.isnan(w) or got[k, i] == pytest.approx(w, rel=1e-12, abs=1e-12))
+        assert all(got[k, i] is None for i, x in enumerate(xs) if x is None)
+
+
+def test_recurrences_stay_in_the_jvm(spark):
+    from tapeworks.operators import indicators, recurrences
+
+    bars = spark.createDataFrame([(1, 0, 2.0, 1.0, 1.5)], "mint long, bar_start long, high double, low double, close double")
+    for made in (indicators.ema(bars, 3), recurrences.macd(bars, 3, 5, 2), recurrences.volatility_shift(bars, 3, 3, 5, 2)):
+        assert not [p for p in ("Python", "Pandas", "Arrow") if p in made._jdf.queryExecution().executedPlan().toString()]
