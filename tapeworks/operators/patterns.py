@@ -174,3 +174,28 @@ def event_scan(features: DataFrame, thresholds: DataFrame, need: dict[str, int],
     by = long.groupBy("mint", "delay", "family").agg(F.count(ok).alias("there"), F.count_if(ok).alias("passed"))
     by = by.where((F.col("there") >= needed[F.col("family")]) & (F.try_divide("passed", "there") >= share) & F.col("family").isin(wanted))
     return by.groupBy("mint", "delay").agg(F.count("*").alias("_f")).where(F.col("_f") == len(wanted)).groupBy("mint").agg(F.min("delay").alias("delay"))
+
+
+def event_states(features: DataFrame, thresholds: DataFrame, need: dict[str, int], share: float = 0.60) -> DataFrame:
+    """(mint, delay, for each family of `need` <family>_share and <family>): the share of its features that pass, and whether the family does.
+
+    As in event_scan; a feature that is null at a delay is absent there: it counts neither as passed nor as failed.
+    """
+    names = [c for c in features.columns if c not in ("mint", "delay")]
+    long = features.unpivot(["mint", "delay"], names, "feature", "value").join(F.broadcast(thresholds), "feature")
+    long = long.withColumn("_ok", passes(F.col("value"), F.col("orientation"), F.col("threshold")))
+    of = lambda f: F.when(F.col("family") == f, F.col("_ok"))
+    by = long.groupBy("mint", "delay").agg(*[x for f in need for x in (F.count(of(f)).alias(f"_n_{f}"), F.count_if(of(f)).alias(f"_p_{f}"))])
+    by = by.withColumns({f"{f}_share": F.try_divide(f"_p_{f}", f"_n_{f}") for f in need})
+    passed = {f: (F.col(f"_n_{f}") >= n) & (F.coalesce(f"{f}_share", F.lit(0.0)) >= share) for f, n in need.items()}
+    return by.withColumns(passed).select("mint", "delay", *[c for f in need for c in (f"{f}_share", f)])
+
+
+def first_event(states: DataFrame, wanted: list[str], more: str) -> DataFrame:
+    """Of each mint the earliest delay at which all of `wanted` pass, with the shares then; `with_<more>` tells if that family passes too."""
+    every = F.lit(True)
+    for f in wanted:
+        every = every & F.col(f)
+    rows = states.where(every).withColumn(f"with_{more}", F.col(more))
+    kept = [f"{f}_share" for f in (*wanted, more)] + [f"with_{more}"]
+    return rows.groupBy("mint").agg(F.min("delay").alias("delay"), F.min_by(F.struct(*kept), "delay").alias("_k")).select("mint", "delay", "_k.*")

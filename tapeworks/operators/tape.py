@@ -142,3 +142,20 @@ def new_highs(tape: DataFrame, step: float = 0.05) -> DataFrame:
     start = F.struct(F.try_element_at("p", F.lit(1)).alias("high"), F.lit(0).cast("long").alias("n"))
     fold = F.aggregate("p", start, lambda s, x: F.when(x > s["high"] * (1 + step), F.struct(x.alias("high"), (s["n"] + 1).alias("n"))).otherwise(s))
     return rising.groupBy("mint").agg(prices.alias("p")).select("mint", fold["n"].alias("new_highs"))
+
+
+def fresh_median(tape: DataFrame, now: Column, seconds: float, rows: int = 7) -> DataFrame:
+    """recent_median of the prices that are at most `seconds` old; mints without one have no row."""
+    return recent_median(tape.where(F.col("t").between(now - seconds, now)), rows)
+
+
+def peak_since(tape: DataFrame, since: Column, seconds: int, share: float = 0.8, least: int = 3) -> DataFrame:
+    """(mint, peak, swaps): the highest confirmed price of each mint from `since` on; what confirms it may be earlier."""
+    later = confirmed(tape, seconds, share, least).where(F.col("t") >= since)
+    return later.groupBy("mint").agg(F.max(F.when(F.col("confirmed"), F.col("price"))).alias("peak"), F.count("*").alias("swaps"))
+
+
+def newest_trend(tape: DataFrame, seconds: float, low: float, high: float, ends: int = 3, least: int = 5) -> DataFrame:
+    """short_trend of each mint's last `seconds`."""
+    newest = tape.groupBy("mint").agg(F.max("t").alias("_end"))
+    return short_trend(tape.join(newest, "mint").where(F.col("t") >= F.col("_end") - seconds).drop("_end"), low, high, ends, least)

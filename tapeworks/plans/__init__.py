@@ -1,3 +1,3 @@
 """Importing the package registers all queries."""
 
-from . import accounts, bars, controllers, event_time, ledger, live, market, panels, patterns, scores, store, whole  # noqa: F401
+from . import accounts, bars, controllers, event_time, events, ledger, live, market, panels, patterns, scores, store, whole  # noqa: F401
