@@ -2,11 +2,11 @@
 
 The standard-library parser's events are cut into lines at block elements. Each line has a ratio of
 text characters to tags; the ratios are smoothed along the page by a Gaussian, and lines above
-the threshold between the two clusters of ratios form the content regions. The regions elect the
-page's content elements: all articles that hold some, and each main that holds more than its articles do; if
-these have less than most of the regions' text, the smallest element that holds all regions. All lines
-in the elected elements are the result, so short paragraphs in them stay, except those in menus, adverts
-and other furniture, which never are lines.
+the threshold between the two clusters of ratios form the content regions. Where articles and mains hold most of the
+regions' text, they mark its bounds: all lines of the articles that hold some, and of each main that holds more than its
+articles do. Elsewhere the regions alone decide: their lines, the lines of the same blocks and between them that
+are not mostly links, and prose in the blocks beside them. Menus, adverts and other furniture that is named as such
+never are lines.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
     "math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mfenced mstyle semantics annotation".split()
 )
-FURNITURE = frozenset("head script style noscript template iframe object svg canvas audio video map nav footer aside form button select textarea input option dialog menu".split())
+FURNITURE = frozenset("head title script style noscript template iframe object svg canvas audio video map nav footer aside form button select textarea input option dialog menu".split())
 #: Words of class names and ids that say what an element is for.
 FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -37,10 +37,10 @@ FURNITURE_NAMES = frozenset(
 #: Words that only say where or of what kind it is, and that may stand beside those.
 STRUCTURE_NAMES = frozenset(
     "area bar block bottom box button buttons column container content ctr feed form global group holder icons inner item items left link links list main message outer page panel posts primary "
-    "right row secondary section site slot strip the thread top unit wrap wrapper zone".split()
+    "reader readers right row secondary section site slot strip the thread top unit user users visitor wrap wrapper zone".split()
 )
 #: Names that paragraphs, lists and tables of an article bear as well.
-TEXT_NAMES = frozenset("notice notices menu share related recommended comment header footer social widget skip banner promotion".split())
+TEXT_NAMES = frozenset("header social widget skip promotion".split())
 TEXT_ELEMENTS = frozenset("p ul ol dl li dt dd table caption tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 MAIN = ("article", "main")
@@ -49,6 +49,8 @@ ENDS_P = frozenset("p div section article main ul ol dl table blockquote pre h1
 SIGMA = 1.0
 #: Share of the regions' text that articles and mains must hold to be elected.
 ELECTED = 0.6
+#: Words of a line of prose, and shares of linked text below which a line is prose or may stand between content.
+PROSE_WORDS, PROSE_LINKS, MOST_LINKS = 10, 0.3, 0.5
 _CUT = re.compile(r"<(?:[A-Za-z!/?][^<>]*)?\Z")
 _NAME = re.compile(r"[a-z0-9]+")
 
@@ -74,26 +76,29 @@ def _furniture(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> b
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, path of the elements around it)."""
+    """Collects lines: (text, tags, path of the elements around it, share of linked characters)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], float]] = []
         self.names: list[str] = [""]  # of each element by number; 0 is the page
         self.open: list[tuple[str, int, bool]] = []  # name, number, whether furniture
         self.hidden = 0
         self.mains = 0
         self.parts: list[str] = []
         self.tags = 0
+        self.links = self.linked = 0  # open links, characters in links of this line
 
     def end_line(self) -> None:
         if self.parts and (text := " ".join("".join(self.parts).split())):
-            self.lines.append((text, self.tags, (0, *(n for _, n, _ in self.open))))
+            whole = sum(map(len, self.parts))
+            self.lines.append((text, self.tags, (0, *(n for _, n, _ in self.open)), self.linked / whole))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        self.links += tag == "a"
         if tag in INLINE:
             if tag not in VOID and (self.hidden or _furniture(tag, attrs, self.inside)):
                 self.push(tag, True)
@@ -136,6 +141,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.links = max(0, self.links - 1)
         if tag in INLINE and not any(t == tag for t, _, _ in self.open):
             return
         if tag not in INLINE:
@@ -148,6 +155,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.parts.append(data)
+            self.linked += len(data) if self.links else 0
 
 
 def smooth(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -183,17 +191,29 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _ in lines]))
-    content = np.flatnonzero(ratio >= threshold(ratio))
+    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _, _ in lines]))
+    content = np.flatnonzero(ratio >= threshold(ratio)).tolist()
     weight: dict[int, int] = {}
     for i in content:
         for n in lines[i][2]:
             weight[n] = weight.get(n, 0) + len(lines[i][0])
     total = weight[0]
     elected = _elected(parser, [lines[i][2] for i in content], weight)
-    if sum(len(lines[i][0]) for i in content if not elected.isdisjoint(lines[i][2])) < ELECTED * total:
-        elected = {max(n for n, w in weight.items() if w == total and parser.names[n] not in INLINE and parser.names[n] not in ENDS_P - {"div", "section"})}
-    return " ".join(t for t, _, path in lines if not elected.isdisjoint(path))
+    if elected and sum(len(lines[i][0]) for i in content if not elected.isdisjoint(lines[i][2])) >= ELECTED * total:
+        return " ".join(t for t, _, path, _ in lines if not elected.isdisjoint(path))
+    around = [n for n, w in weight.items() if w == total and parser.names[n] not in INLINE and parser.names[n] not in ENDS_P - {"div", "section"}]
+    return " ".join(lines[i][0] for i in _grown(lines, content, sorted(around)))
+
+
+def _grown(lines: list[tuple[str, int, tuple[int, ...], float]], content: list[int], around: list[int]) -> list[int]:
+    """The lines of the regions, of the same blocks, beside them and between them. around: the elements that hold all regions, outer ones first."""
+    beside = around[-2] if len(around) > 1 else around[-1]
+    kept = {i for i in content if lines[i][3] < MOST_LINKS} or set(content)
+    kept |= {i for i, (t, _, path, links) in enumerate(lines) if beside in path and links < PROSE_LINKS and len(t.split()) >= PROSE_WORDS}
+    blocks = {lines[i][2][-2:][0] for i in kept}
+    kept |= {i for i, (_, _, path, links) in enumerate(lines) if path[-2:][0] in blocks and links < MOST_LINKS}
+    first, last, inner = min(kept), max(kept), around[-1]
+    return [i for i, (_, _, path, links) in enumerate(lines) if i in kept or first < i < last and inner in path and links < MOST_LINKS]
 
 
 def _elected(parser: Lines, paths: list[tuple[int, ...]], weight: dict[int, int]) -> set[int]:

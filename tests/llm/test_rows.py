@@ -237,8 +237,40 @@ def test_names_of_furniture(name, kept):
 
 
 def test_article_text_under_common_names():
-    got = html_text.main_text(f"<article><p class='notice'>Note.</p><ul class='menu'><li>Soup</li></ul><p>{PROSE}<math><mi>x</mi><mo>+</mo><mn>1</mn></math></p><table><tr><td>Cell</td></tr></table></article>")
-    assert got.startswith("Note. Soup The long") and got.endswith("x+1 Cell")
+    got = html_text.main_text(f"<article><h2 class='header'>Head</h2><p class='social'>Note.</p><p>{PROSE}<math><mi>x</mi><mo>+</mo><mn>1</mn></math></p><table><tr><td>Cell</td></tr></table></article>")
+    assert got.startswith("Head Note. The long") and got.endswith("x+1 Cell")
+
+
+@pytest.mark.parametrize("html", [
+    "<ol class='comment-list'><li>Inner words. {}</li></ol>", "<div id='user-comments'><p>Inner words. {}</p></div>", "<p class='notice'>Inner words. {}</p>", "<ul class='menu'><li>Inner words. {}</li></ul>", "<nav><p>Inner words. {}</p></nav>",
+    "<footer><p>Inner words. {}</p></footer>", "<aside>Inner words. {}</aside>", "<form><p>Inner words. {}</p></form>", "<script>Inner words. {}</script>", "<style>Inner words. {}</style>", "<div class='ad'>Inner words. {}</div>",
+    "<div class='sidebar'>Inner words. {}</div>", "<title>Inner words.</title>", "<ul class='related'><li>Inner words.</li></ul>", "<section class='reader-comments'><p>Inner words. {}</p></section>",
+])
+@pytest.mark.parametrize("place", ["<body><article><p>{0}</p>{1}<p>{0}</p></article></body>", "<body><div><p>{0}</p>{1}<p>{0}</p></div></body>", "<body>{1}<div><p>{0}</p></div></body>"])
+def test_furniture_goes_wherever_it_stands(html, place):
+    got = html_text.main_text(place.format(PROSE, html.format(PROSE)))
+    assert "Inner words." not in got and "The long text" in got
+
+
+BARE = """<body><div>{links}</div><div><p>An introduction of some thirty words that stands in a block of its own, before the text that it introduces,
+and that is short beside it, but prose all the same, as any reader can see.</p></div><div><h2>Head</h2><p>{prose}</p><p>Short.</p><p>{prose}</p></div><div>{links}</div><div>&copy; 2024 Imprint</div></body>"""
+
+
+def test_regions_without_article_or_names(monkeypatch):
+    """Nothing is named, so only the clusters can tell the link lists and the imprint from the text."""
+    links = "".join(f"<a href='/{i}'>Link {i}</a><br>" if i % 2 else f"<p><a href='/{i}'>Link number {i}</a></p>" for i in range(12))
+    page = BARE.format(links=links, prose=PROSE)
+    got = html_text.main_text(page)
+    assert got.startswith("An introduction") and " Head The long" in got and " Short. The long" in got and got.endswith("menu.")
+    assert "Link" not in got and "Imprint" not in got
+    monkeypatch.setattr(html_text, "threshold", lambda values: -1.0)  # no clustering: all lines are content
+    assert "Imprint" in html_text.main_text(page)
+
+
+def test_siblings_of_a_region_stay():
+    words = lambda n: " ".join(f"word{i}" for i in range(n)) + "."
+    got = html_text.main_text(f"<div><p>Intro {words(35)}</p></div><div><p>{words(60)}</p></div>")
+    assert got == f"Intro {words(35)} {words(60)}"
 
 
 def paragraphs_of(page: str) -> list[str]:
