@@ -35,6 +35,8 @@ REACH = 6
 LEAST_WORDS, QUERY_WORDS = 10, 50
 #: Rows of a lookup table of hashes or ids that is sent to every task; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Words that may differ between pieces of one passage: a changed word, or two.
+GAP = 2
 CHUNK, PARAGRAPH = 0, 1
 
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -319,10 +321,10 @@ def _edges(rows: DataFrame, anchors: DataFrame, near: DataFrame, least_words: in
 
 
 def _joined(pieces: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Number the groups of pieces of a text whose words overlap or follow each other."""
+    """Number the groups of pieces of a text whose words overlap or follow each other, but for GAP words."""
     order = Window.partitionBy(*keys).orderBy("at", "n_words")
     reach = F.max(F.col("at") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return pieces.withColumn("_new", F.coalesce((F.col("at") > reach).cast("int"), F.lit(1))).withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return pieces.withColumn("_new", F.coalesce((F.col("at") > reach + GAP).cast("int"), F.lit(1))).withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def _passages(rows: DataFrame, least_words: int, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, reach: int = REACH, cell_rows: int = 2000) -> DataFrame:

@@ -151,3 +151,21 @@ def test_passages_of_short_lines_and_in_one_document(spark):
     assert removed_words(found, 1) >= 100 and removed_words(found, 2) == 120
     clean = {r.doc_id: r.text for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
     assert clean[2].count(passage) == 1 and clean[0] == texts[0] and clean[3] == texts[3]
+
+
+def test_near_passages_inside_lines(spark):
+    """A passage of 100 words with a changed one is found in a line of its own surroundings, and most of it goes."""
+    rows, place = [], {}
+    for i in range(40):
+        p = prose(100, 900 + i).split()
+        q = [*p[:45], "changed", *p[46:]]
+        a, b, c, d = (prose(60, 5000 + 10 * i + k) for k in range(4))
+        rows += [(2 * i, " ".join([a, *p, b])), (2 * i + 1, " ".join([c, *q, d]))]
+        place[2 * i + 1] = (len(c) + 1, len(c) + 1 + len(" ".join(q)))
+    share = dict.fromkeys(place, 0.0)
+    for r in substring_dedup.passages(documents(spark, rows), 50).collect():
+        if r.removed:
+            start, end = place[r.doc_id]
+            assert all(start <= c.start and c.end <= end for c in r.cuts)
+            share[r.doc_id] += sum(c.end - c.start for c in r.cuts) / (end - start)
+    assert sum(x > 0 for x in share.values()) >= 36 and sum(share.values()) / 40 >= 0.7
