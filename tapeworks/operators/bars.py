@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tape as tapes
+
 
 def aligned(tape: DataFrame, starts: DataFrame, seconds: int, count: int) -> DataFrame:
     """(mint, start, shifted): a start without swaps in its `count` bars moves to the bar of the mint's first swap."""
@@ -49,8 +51,8 @@ def clean_bars(tape: DataFrame, starts: DataFrame, seconds: int, count: int, dus
     rows = without_outliers(without_dust(rows, ["mint", "bar"], dust), ["mint", "bar"], outlier)
     late = F.col("t") >= F.col("start") + (F.col("bar") + 1) * seconds - tail
     own = rows.groupBy("mint", "bar").agg(
-        F.min_by("price", "t").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.coalesce(F.try_divide(F.sum(F.when(late, F.col("price") * F.col("volume"))), F.sum(F.when(late, F.col("volume")))), F.max_by("price", "t")).alias("close"),
+        F.min_by("price", tapes.at(rows)).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.coalesce(F.try_divide(F.sum(F.when(late, F.col("price") * F.col("volume"))), F.sum(F.when(late, F.col("volume")))), F.max_by("price", tapes.at(rows))).alias("close"),
         F.sum("volume").alias("volume"), F.count("*").alias("trades"), F.count_if(F.col("is_buy") == 1).alias("buys"), F.count_if(F.col("is_buy") == 0).alias("sells"),
     )
     grid = spans.select("mint", "start", "shifted", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("bar"))

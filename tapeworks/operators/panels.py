@@ -35,7 +35,7 @@ def label_drawdown(tape: DataFrame, delay: float, anchor: float, window: float,
     rows = tape.where("price > 0").join(starts, "mint").withColumn("_at", F.col("t") - F.col("_entry")).where("_at >= 0")
     near, inside = F.col("_at") <= anchor, F.col("_at") <= window
     out = rows.groupBy("mint").agg(
-        F.count_if(near).alias("_near"), F.median(F.when(near, F.col("price"))).alias("_median"), F.min_by("price", "t").alias("_first"),
+        F.count_if(near).alias("_near"), F.median(F.when(near, F.col("price"))).alias("_median"), F.min_by("price", tapes.at(rows)).alias("_first"),
         F.count_if(inside).alias("swaps"), F.min(F.when(inside, F.col("price"))).alias("_low"),
     )
     fall = F.try_divide("_low", F.when(F.col("_near") >= least, F.col("_median")).otherwise(F.col("_first"))) - 1
@@ -69,7 +69,7 @@ def panel5(tape: DataFrame, starts: DataFrame, unit: float = 1.0, dust: float =
     """
     rows = opening(tape, starts, 300 * unit, dust)
     ok = _valid(rows)
-    at = Window.partitionBy("mint").orderBy("t")
+    at = tapes.by_time(ok)
     first = ok.withColumn("_k", F.row_number().over(at)).groupBy("mint").agg(
         F.count("*").alias("_valid"), F.median(F.when(F.col("_k") <= 5, F.col("price"))).alias("_ref"), F.max("price").alias("_peak")
     )
@@ -102,7 +102,7 @@ def panel22(tape: DataFrame, starts: DataFrame, unit: float = 1.0, dust: float =
     that need more are null. Windows hold a mint's swaps of the 300 units.
     """
     rows = opening(tape, starts, 300 * unit, dust)
-    early, at = F.col("age") <= 60 * unit, Window.partitionBy("mint").orderBy("t")
+    early, at = F.col("age") <= 60 * unit, tapes.by_time(rows)
     buy = F.sum(F.when(F.col("is_buy") == 1, F.col("volume")).otherwise(0.0))
     sell = F.sum(F.when(F.col("is_buy") == 0, F.col("volume")).otherwise(0.0))
     n60, n300 = F.count_if(early), F.count("*")
@@ -117,14 +117,14 @@ def panel22(tape: DataFrame, starts: DataFrame, unit: float = 1.0, dust: float =
     returns = ok.withColumn("_r", F.ln("price") - F.ln(F.lag("price").over(at))).withColumn("_q", F.lag("_r").over(at))
     enough, cov = F.count("*") >= 10, F.covar_samp("_r", "_q")
     prices = returns.groupBy("mint").agg(
-        F.count("*").alias("_valid"), (F.max_by("price", "t") / F.max("price") - 1).alias("drawdown"), F.when(enough, F.median(F.abs("_r") / F.greatest("volume", F.lit(0.01)))).alias("kyle_lambda"),
+        F.count("*").alias("_valid"), (F.max_by("price", tapes.at(ok)) / F.max("price") - 1).alias("drawdown"), F.when(enough, F.median(F.abs("_r") / F.greatest("volume", F.lit(0.01)))).alias("kyle_lambda"),
         F.when(enough, F.when(cov < 0, 2 * F.sqrt(-cov)).otherwise(0.0)).alias("roll_spread"),
     )
     sure = tapes.confirmed(ok, int(5 * unit)).where("confirmed")
     peaks = sure.withColumns({"_a": F.lag("price").over(at), "_b": F.lead("price").over(at)})
     two = F.count("*") >= 2
     peaks = peaks.groupBy("mint").agg(
-        F.when(two, F.max_by("price", "t") / F.max("price") - 1).alias("drawdown_confirmed"), F.when(two, F.count_if((F.col("price") > F.col("_a")) & (F.col("price") > F.col("_b")))).cast("double").alias("local_maxima")
+        F.when(two, F.max_by("price", tapes.at(ok)) / F.max("price") - 1).alias("drawdown_confirmed"), F.when(two, F.count_if((F.col("price") > F.col("_a")) & (F.col("price") > F.col("_b")))).cast("double").alias("local_maxima")
     )
     buckets = rows.where(F.col("age") < 300 * unit).groupBy("mint", F.floor(F.col("age") / (30 * unit)).alias("_k")).agg(F.count("*").alias("_n"), (buy - sell).alias("_d"), F.sum("volume").alias("_v"))
     vpin = buckets.where((F.col("_n") >= 3) & (F.col("_v") > 0)).groupBy("mint").agg(F.avg(F.abs("_d") / F.col("_v")).alias("vpin"))
@@ -157,7 +157,7 @@ def ticks(tape: DataFrame, seconds: float, least: int = 3) -> DataFrame:
 
     The skewness is that of the population, within -10 and 10; gaps of 0 don't count.
     """
-    at = Window.partitionBy("mint").orderBy("t")
+    at = tapes.by_time(tape)
     rows = latest(tape, seconds).withColumn("_gap", F.col("t") - F.lag("t").over(at))
     gap = F.when(F.col("_gap") > 0, F.col("_gap"))
     skew = F.greatest(F.least(F.coalesce(F.nanvl(F.skewness("volume"), F.lit(0.0)), F.lit(0.0)), F.lit(10.0)), F.lit(-10.0))
@@ -194,8 +194,7 @@ def flow_micro(tape: DataFrame, starts: DataFrame, seconds: int, late: float, sp
 def hawkes(tape: DataFrame, seconds: float, decay: float, after: float) -> DataFrame:
     """Decayed counts of each side's last `seconds`, and the mean number of swaps that follow one of their side within `after`, of the last `after`."""
     near = latest(tape, after)
-    w = Window.partitionBy("mint", "is_buy").orderBy("t")
-    follow = near.withColumn("_f", F.count("*").over(w.rangeBetween(0, int(after))) - F.count("*").over(w.rangeBetween(0, 0))).groupBy("mint").agg(
+    follow = tapes.branching(near, after).withColumnRenamed("successors", "_f").groupBy("mint").agg(
         *[F.when(F.count_if(F.col("is_buy") == b) > 1, F.avg(F.when(F.col("is_buy") == b, F.col("_f")))).alias(n) for b, n in ((1, "branching_buy"), (0, "branching_sell"))]
     )
     return intensity(tape, seconds, decay).join(follow, "mint", "left").fillna(0.0, ["branching_buy", "branching_sell"])

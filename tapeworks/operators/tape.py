@@ -1,6 +1,7 @@
 """Swap tapes: bars, weighted medians and microstructure features.
 
-Tapes have mint, trader, is_buy, volume, price and t (seconds). A mint's swaps inside an analysis window meet in one task.
+Tapes have mint, trader, is_buy, volume, price and t (seconds), and seq, the number of a swap, which orders those of one time
+(without it their order is open). A mint's swaps inside an analysis window meet in one task.
 """
 
 from __future__ import annotations
@@ -11,8 +12,18 @@ from pyspark.sql import functions as F
 from . import scans
 
 
-def by_time() -> Window:
-    return Window.partitionBy("mint").orderBy("t")
+def order(tape: DataFrame) -> list[str]:
+    """The columns that order a tape."""
+    return ["t", "seq"] if "seq" in tape.columns else ["t"]
+
+
+def at(tape: DataFrame) -> Column:
+    """A swap's place in a tape, for min_by and max_by."""
+    return F.struct(*order(tape))
+
+
+def by_time(tape: DataFrame, newest: bool = False) -> Window:
+    return Window.partitionBy("mint").orderBy(*[F.desc(c) if newest else c for c in order(tape)])
 
 
 def bars(tape: DataFrame, seconds: float, tail: float = 10) -> DataFrame:
@@ -20,9 +31,9 @@ def bars(tape: DataFrame, seconds: float, tail: float = 10) -> DataFrame:
     rows = tape.withColumn("bar", F.floor(F.col("t") / seconds) * seconds)
     late = F.col("t") >= F.col("bar") + seconds - tail
     return rows.groupBy("mint", F.col("bar").cast("long").alias("bar_start")).agg(
-        F.min_by("price", "t").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "t").alias("close"), F.sum("volume").alias("volume"),
+        F.min_by("price", at(tape)).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at(tape)).alias("close"), F.sum("volume").alias("volume"),
         F.count("*").alias("trades"), F.count_if(F.col("is_buy") == 1).alias("buys"), F.count_if(F.col("is_buy") == 0).alias("sells"),
-        F.coalesce(F.try_divide(F.sum(F.when(late, F.col("price") * F.col("volume"))), F.sum(F.when(late, F.col("volume")))), F.max_by("price", "t")).alias("vwap_close"),
+        F.coalesce(F.try_divide(F.sum(F.when(late, F.col("price") * F.col("volume"))), F.sum(F.when(late, F.col("volume")))), F.max_by("price", at(tape))).alias("vwap_close"),
     )
 
 
@@ -47,13 +58,13 @@ def weighted_median(tape: DataFrame, weight: Column, least: int = 1) -> DataFram
 
 
 def recent_median(tape: DataFrame, rows: int = 7) -> DataFrame:
-    latest = tape.withColumn("_r", F.row_number().over(Window.partitionBy("mint").orderBy(F.desc("t")))).where(F.col("_r") <= rows)
+    latest = tape.withColumn("_r", F.row_number().over(by_time(tape, newest=True))).where(F.col("_r") <= rows)
     return latest.groupBy("mint").agg(F.median("price").alias("median_price"))
 
 
 def short_trend(tape: DataFrame, low: float, high: float, ends: int = 3, least: int = 5) -> DataFrame:
     """Median of the last prices over that of the first, less 1, and what it says."""
-    up, down = Window.partitionBy("mint").orderBy("t"), Window.partitionBy("mint").orderBy(F.desc("t"))
+    up, down = by_time(tape), by_time(tape, newest=True)
     rows = tape.withColumns({"_a": F.row_number().over(up), "_b": F.row_number().over(down)})
     out = rows.groupBy("mint").agg(F.count("*").alias("n"), (F.try_divide(F.median(F.when(F.col("_b") <= ends, F.col("price"))), F.median(F.when(F.col("_a") <= ends, F.col("price")))) - 1).alias("trend"))
     trend = F.when(F.col("n") >= least, F.col("trend"))
@@ -76,7 +87,7 @@ SLICE = 86_400
 
 def running(tape: DataFrame, **of) -> DataFrame:
     """scans.scan along each mint's tape."""
-    return scans.scan(tape, ["mint"], ["t"], F.floor(F.col("t") / SLICE), **of)
+    return scans.scan(tape, ["mint"], order(tape), F.floor(F.col("t") / SLICE), **of)
 
 
 def log_returns(tape: DataFrame) -> DataFrame:
@@ -91,8 +102,8 @@ def gaps(tape: DataFrame) -> DataFrame:
 
 def impact(tape: DataFrame, floor: float = 0.01, least: int = 10) -> DataFrame:
     """Kyle's lambda proxy and Roll's spread per mint."""
-    rows = tape.withColumn("_d", F.col("price") - F.lag("price").over(by_time())).withColumn("_l", F.abs(F.ln(F.try_divide("price", F.lag("price").over(by_time())))) / F.greatest("volume", F.lit(floor)))
-    rows = rows.withColumn("_e", F.lag("_d").over(by_time()))
+    rows = tape.withColumn("_d", F.col("price") - F.lag("price").over(by_time(tape))).withColumn("_l", F.abs(F.ln(F.try_divide("price", F.lag("price").over(by_time(tape))))) / F.greatest("volume", F.lit(floor)))
+    rows = rows.withColumn("_e", F.lag("_d").over(by_time(tape)))
     cov = F.covar_samp("_d", "_e")
     return rows.groupBy("mint").agg(F.when(F.count("*") >= least, F.median("_l")).alias("kyle_lambda"), F.when(cov < 0, 2 * F.sqrt(-cov)).otherwise(0.0).alias("roll_spread"))
 
@@ -121,7 +132,7 @@ def streaks(tape: DataFrame) -> DataFrame:
     """Longest run of sells, changes of side, fall of the last price from the highest."""
     rows = running(tape, sums={"_isle": F.col("is_buy")}, before={"_was": F.col("is_buy")})
     runs = rows.groupBy("mint", "_isle").agg(F.count_if(F.col("is_buy") == 0).alias("_run")).groupBy("mint").agg(F.max("_run").alias("sell_streak"))
-    rest = rows.groupBy("mint").agg(F.count_if(F.col("is_buy") != F.col("_was")).alias("switches"), (F.max_by("price", "t") / F.max("price") - 1).alias("drawdown"))
+    rest = rows.groupBy("mint").agg(F.count_if(F.col("is_buy") != F.col("_was")).alias("switches"), (F.max_by("price", at(rows)) / F.max("price") - 1).alias("drawdown"))
     return runs.join(rest, "mint")
 
 

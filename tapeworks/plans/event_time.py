@@ -16,8 +16,7 @@ LATE_MS, LATE, BATCHES = 6 * HOUR * 1000, "6 hours", 3
 
 def _tape(spark, d):
     """Swaps with their number, a row's milliseconds and nothing but columns that a heartbeat may leave null."""
-    rows = v.swaps_of(v.table(spark, d, "events"), F.col("event_id").alias("seq"))
-    return rows.withColumn("ms", F.floor(F.col("t") * 1000).cast("long"))
+    return v.swaps(spark, d).withColumn("ms", F.floor(F.col("t") * 1000).cast("long"))
 
 
 def _in_batches(rows, build, number="seq"):

@@ -65,7 +65,8 @@ STATES = ORDERS + """, states_v as (select created_at ts, account, 'N' || (natio
 
 
 def swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return swaps_of(table(spark, sf_dir, "events"))
+    """The tape with `seq`, which orders swaps of one time."""
+    return swaps_of(table(spark, sf_dir, "events"), F.col("event_id").alias("seq"))
 
 
 def swaps_of(events: DataFrame, *more: Column) -> DataFrame:

@@ -101,3 +101,17 @@ def test_recurrences_stay_in_the_jvm(spark):
     bars = spark.createDataFrame([(1, 0, 2.0, 1.0, 1.5)], "mint long, bar_start long, high double, low double, close double")
     for made in (indicators.ema(bars, 3), recurrences.macd(bars, 3, 5, 2), recurrences.volatility_shift(bars, 3, 3, 5, 2)):
         assert not [p for p in ("Python", "Pandas", "Arrow") if p in made._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_ties_are_ordered_by_number(spark):
+    """A tape with equal times gives one result however its rows are dealt."""
+    pick = random.Random(9)
+    rows = [(1, i % 7, pick.randrange(2), float(pick.randrange(1, 9)), 1.0 + pick.random(), float(i // 6), i) for i in range(240)]
+    schema = "mint long, trader long, is_buy int, volume double, price double, t double, seq long"
+    seen = set()
+    for seed in range(3):
+        pick.shuffle(rows)
+        df = spark.createDataFrame(rows, schema).repartition(1 + 3 * seed)
+        made = [tape.bars(df, 10).orderBy("bar_start"), tape.recent_median(df), tape.short_trend(df, -0.1, 0.1), tape.streaks(df), tape.impact(df), tape.log_returns(df).agg(F.round(F.sum("log_return"), 9), F.round(F.sum(F.col("log_return") * F.col("seq")), 6))]
+        seen.add(repr([[tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in m.collect()] for m in made]))
+    assert len(seen) == 1
