@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import balances, patterns, tape
-from ..sinks import versioned
+from ..sinks import layout, versioned
 from ..sources import views as v
 from ..sources.shared import shared_folder
 from .market import rounded
@@ -174,3 +174,14 @@ def patched_table(spark, d):
     for job in [*jobs, *jobs]:
         job()
     return versioned.read(spark, path, inserted, keys, order).drop("at")
+
+
+@query(
+    "laid_out_scan",
+    f"with {v.SWAPS} select mint, trader, is_buy, volume, price, t from swaps_v where mint = 4 and t between 1704672000 and 1705276800",
+)
+def laid_out_scan(spark, d):
+    """A mint's swaps of a week from a tape that is laid out by mint and time."""
+    path = f"{shared_folder(spark)}/tapeworks/laid-out-{uuid.uuid4().hex}"
+    layout.lay_out(v.swaps(spark, d), path, ["mint", "t"], 64)
+    return layout.scan(spark, path, {"mint": (4, 4), "t": (1704672000.0, 1705276800.0)}).drop("seq")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.operators import balances, patterns, tape
-from tapeworks.sinks import versioned
+from tapeworks.sinks import layout, versioned
 
 ROW = "k long, a long, b string, at long"
 
@@ -100,3 +100,34 @@ def test_fresh_prices(spark):
     assert {r.mint: (r.peak, r.swaps) for r in tape.peak_since(tape_rows, F.lit(91.0), 20, least=2).collect()} == {1: (2.0, 2)}
     got = {r.mint: r.trend for r in tape.newest_trend(tape_rows, 15, -0.1, 0.1, ends=1, least=3).collect()}
     assert got[1] == pytest.approx(1.0) and got[2] is None
+
+
+def test_scans_of_a_layout_skip_files(spark, tmp_path):
+    """A range of one key reads few of the files, also of a hot key; results are those of a filter."""
+    path = f"file://{tmp_path}/tape"
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 40).alias("mint"), (F.col("id") * 7919 % 20_000).cast("double").alias("t"), F.col("id").alias("seq"))
+    rows = rows.union(spark.createDataFrame([(None, 1.0, -1), (7, None, -2)], rows.schema))
+    layout.lay_out(rows, path, ["mint", "t"], 50)
+    total = layout.files_of(spark, path).count()
+    for mint, low, high, most in ((7, 1000.0, 1500.0, 4), (9, 0.0, 20_000.0, 4), (3, 5.0, 5.0, 4), (99, 0.0, 1.0, 0)):
+        made = layout.scan(spark, path, {"mint": (mint, mint), "t": (low, high)})
+        want = rows.where((F.col("mint") == mint) & F.col("t").between(low, high))
+        assert sorted(r.seq for r in made.collect()) == sorted(r.seq for r in want.collect())
+        assert len(want.head(1)) <= len(made.inputFiles()) <= most < total / 5
+    made = layout.scan(spark, path, {"mint": (7, 7), "t": (1000.0, 1500.0)})
+    made.collect()
+    scans = [p for p in _plans(made._jdf.queryExecution().executedPlan()) if p.nodeName().startswith("Scan")]
+    assert sum(p.metrics().get("numFiles").get().value() for p in scans) <= 4
+
+
+def _plans(plan):
+    """The nodes of an executed plan."""
+    plan = plan.executedPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan
+    children = plan.children()
+    return [plan, *[p for i in range(children.size()) for p in _plans(children.apply(i))]]
+
+
+def test_a_layout_of_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/none"
+    layout.lay_out(spark.createDataFrame([], "mint long, t double"), path, ["mint", "t"], 4)
+    assert layout.scan(spark, path, {"mint": (1, 1)}).count() == 0
