@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import filters
@@ -81,7 +81,7 @@ def merged(parts: DataFrame, keys: list[str], sums: list[str], lists: list[str])
     )
 
 
-def due(observed: DataFrame, schedule: DataFrame, done: DataFrame, now: float) -> DataFrame:
+def due(observed: DataFrame, schedule: DataFrame, done: DataFrame, now: Column | float) -> DataFrame:
     """(key, snapshot) of the scheduled snapshots whose offset has passed since `since` and that are not done; the schedule is a few rows."""
     rows = observed.join(F.broadcast(schedule), F.lit(now) - F.col("since") >= F.col("offset"))
     return rows.select("key", "snapshot").join(done, ["key", "snapshot"], "left_anti")

@@ -362,7 +362,7 @@ def due_snapshots(spark, d):
     seen = t.groupBy(F.col("mint").alias("key")).agg(F.max("t").alias("since"))
     schedule = spark.createDataFrame([("t0", 0), ("t5m", 300), ("t1h", 3600), ("t6h", 21600)], "snapshot string, offset int")
     done = seen.where("key % 2 = 0").select("key", F.lit("t0").alias("snapshot"))
-    now = t.agg(F.max("t")).first()[0] or 0.0
+    now = F.coalesce(t.agg(F.max("t")).scalar(), F.lit(0.0))
     return history.due(seen, schedule, done, now)
 
 

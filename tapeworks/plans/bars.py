@@ -71,8 +71,8 @@ def outliers(spark, d):
   select mint, buffer, qualified, round(oldest, 3) oldest_age, round(newest, 3) newest_age, round(vol, 4) volume, lo price_min, hi price_max, case when qualified >= 5 then p.price end price, case when qualified = 0 then 'no_data' when qualified < 5 then 'insufficient_swaps' else 'ok' end status from s left join p using (mint)""")
 def vwmp(spark, d):
     tape = v.swaps(spark, d)
-    now = tape.agg(F.max("t")).first()[0] or 0.0
-    return rounded(rounded(bars.median_price(tape, F.lit(now), 86_400.0, 10.0, 5), 3, "oldest_age", "newest_age"), 4, "volume")
+    now = F.coalesce(tape.agg(F.max("t")).scalar(), F.lit(0.0))
+    return rounded(rounded(bars.median_price(tape, now, 86_400.0, 10.0, 5), 3, "oldest_age", "newest_age"), 4, "volume")
 
 
 @query("buffer_recent", f"with {v.SWAPS} select mint, count(*) kept, min(t) oldest from (select *, max(t) over (partition by mint) e from swaps_v) where t >= e - 172800 group by mint")

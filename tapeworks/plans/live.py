@@ -30,8 +30,7 @@ def stream_dedup(spark, d):
   select trader, last_t, last_value, rows, case when now - last_t < {DAY} then 'running' else 'idle' end status, greatest({DAY} - (now - last_t), 0) remaining from s, e""")
 def stream_liveness(spark, d):
     seen = streams.drained(streams.last_seen(_swaps(spark, d), "trader", "t", "price"), "update", ["trader"])
-    now = seen.agg(F.max("last_t")).first()[0]
-    return streams.liveness(seen, now, DAY) if now is not None else streams.liveness(seen, 0.0, DAY)
+    return streams.liveness(seen, F.coalesce(seen.agg(F.max("last_t")).scalar(), F.lit(0.0)), DAY)
 
 
 @query("stream_changes", f"""with recursive {v.SWAPS}, r as (select mint, t, price, row_number() over (partition by mint order by t, price) k from swaps_v),

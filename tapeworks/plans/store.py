@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import history
+from ..operators import history, tape
 from ..sinks import tables
 from ..sources import archive
 from ..sources import views as v
 from ..sources.shared import shared_folder
-from .market import BARS, _bars, rounded
+from .market import BARS, HOUR, _bars, rounded
 from .registry import query
 
 
@@ -65,9 +65,12 @@ def archive_status(spark, d):
 def archive_discovery(spark, d):
     """Archives of three instances are written, then found and read together."""
     root = f"{shared_folder(spark)}/tapeworks/archived-{uuid.uuid4().hex}"
-    rows = _archived(spark, d)
-    for k in range(3):
-        rows.where(F.col("supp") % 3 == k).write.parquet(f"{root}/bot_{k}/data/trade_fills.parquet")
+    rows = _archived(spark, d).persist()
+    try:
+        for k in range(3):
+            rows.where(F.col("supp") % 3 == k).write.parquet(f"{root}/bot_{k}/data/trade_fills.parquet")
+    finally:
+        rows.unpersist()
     found = archive.discover(spark, root, "trade_fills")
     return found.groupBy("instance", "connector_name").agg(F.count("*").alias("fills"), F.round(F.sum("amount"), 3).alias("amount"))
 
@@ -137,7 +140,9 @@ def candles_tail(spark, d):
 
 @query("candles_range", f"with {BARS} select mint, bar_start, open, high, low, close from b where mint = 3 and bar_start between 1704672000 and 1705276800")
 def candles_range(spark, d):
-    return history.search_range(_bars(spark, d), {"mint": 3}, "bar_start", 1704672000, 1705276800).select("mint", "bar_start", "open", "high", "low", "close")
+    low, high = 1704672000, 1705276800  # bars begin at whole hours, and so does the range
+    near = v.swaps(spark, d).where((F.col("mint") == 3) & (F.col("t") >= low) & (F.col("t") < high + HOUR))
+    return history.search_range(tape.bars(near, HOUR, 600), {"mint": 3}, "bar_start", low, high).select("mint", "bar_start", "open", "high", "low", "close")
 
 
 @query("swap_scan", f"with {v.SWAPS} select mint, trader, is_buy, volume, price, t from swaps_v where mint = 4 and t >= 1704672000 and t <= 1705276800")

@@ -1,7 +1,8 @@
 """Tables that are written to: append, insert once by key, patch by key, and their state now.
 
 A table is a Parquet folder. Patches are appended as they come and folded when read, so writing
-never rewrites what is there, and a job that is run again adds nothing new.
+never rewrites what is there. append() run again adds its rows again, and two insert_once() at once may both add a key: jobs that can be
+run again or at once go through versioned.patch().
 """
 
 from __future__ import annotations
@@ -45,9 +46,9 @@ def insert_once(rows: DataFrame, path: str, keys: list[str], order: list[Column]
 
 
 def patched(events: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The state of each key: of every column the newest value that is not null (a patch leaves null columns as they were)."""
+    """The state of each key: of every column the newest value that is not null (a patch leaves null columns as they were); at one time the greatest."""
     values = [c for c in events.columns if c not in (*keys, at)]
-    newest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in values]
+    newest = [F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(at).alias("at"), F.col(c).alias("value"))))["value"].alias(c) for c in values]
     return events.groupBy(*keys).agg(*newest, F.max(at).alias(at))
 
 

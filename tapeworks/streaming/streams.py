@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,7 +54,7 @@ def last_seen(stream: DataFrame, key: str, t: str, value: str) -> DataFrame:
     return stream.groupBy(key).agg(F.max(t).alias("last_t"), F.max_by(value, t).alias("last_value"), F.count("*").alias("rows"))
 
 
-def liveness(seen: DataFrame, now: float, seconds: float) -> DataFrame:
+def liveness(seen: DataFrame, now: Column | float, seconds: float) -> DataFrame:
     """What last_seen says at `now`: idle after `seconds` without a row, and the time left until then."""
     age = F.lit(now) - F.col("last_t")
     return seen.withColumns({"status": F.when(age < seconds, "running").otherwise("idle"), "remaining": F.greatest(F.lit(seconds) - age, F.lit(0.0))})
@@ -63,7 +63,7 @@ def liveness(seen: DataFrame, now: float, seconds: float) -> DataFrame:
 def emitted(stream: DataFrame, key: str, t: str, value: str, emits: Callable[[float, float, float, float], bool]) -> DataFrame:
     """(key, t, value) of the first row of a key, and of each that emits(last t, last value, t, value) accepts.
 
-    "Last" is the last row that was emitted. A key's rows of one micro-batch are put in the order of
+    "Last" is the last row that was emitted, also for a row that comes late: ordered.ordered with folds.Emitted keeps event order, and forgets keys. A key's rows of one micro-batch are put in the order of
     (t, value), so a batch of a key must fit a task: bound it by the source's maxFilesPerTrigger. Rows
     with a null key, t or value are ignored; equal rows count one after the other.
     """
