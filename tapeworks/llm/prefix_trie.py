@@ -15,9 +15,10 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scans import scan
 from .common import materialize
 
 ROOT = "root"
@@ -25,6 +26,8 @@ ROOT = "root"
 HEADS, BLOCK = 6, 100
 #: Ids of a piece of an end list at most; partial tries that a merge takes together.
 PIECE, FAN = 4096, 32
+#: Turns of a slice of a conversation: a long one is numbered and summed up in as many tasks as it has slices.
+SLICE = 1000
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -38,8 +41,8 @@ def turns(conversations: DataFrame) -> DataFrame:
     rows = conversations.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv"), "turn", role.alias("role"), F.substring(text, 1, 64).alias("head"), F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text)).alias("content"), F.length(text).cast("long").alias("chars"),
     )
-    place = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "head", "content"))
-    return materialize(rows.select("conv", place.cast("long").alias("k"), "content", "chars"), "turns")
+    rows = scan(materialize(rows, "turns"), ["conv"], ["turn", "role", "head", "content"], F.floor(F.col("turn") / SLICE), {"k": F.lit(1).cast("long")})
+    return materialize(rows.select("conv", "k", "content", "chars"), "turns")
 
 
 def rebuilt(rows: DataFrame) -> DataFrame:
@@ -61,16 +64,19 @@ def rebuilt(rows: DataFrame) -> DataFrame:
 
 
 def paths(rows: DataFrame) -> DataFrame:
-    """rebuilt() with the key of each beginning and of the one before (null for the root)."""
-    halves = []
+    """rebuilt(), a written table, with the key of each beginning and of the one before (null for the root)."""
+    halves = {}
     for seed in (1, 2):
         hashed = F.xxhash64(F.lit(seed), "d", "content")
-        halves += [F.shiftrightunsigned(hashed, 32), hashed.bitwiseAND(0xFFFFFFFF)]
-    w = Window.partitionBy("conv").orderBy("d")
-    sums = [F.sum(h).over(w.rowsBetween(Window.unboundedPreceding, 0)) for h in halves]
-    key = F.when(F.col("d") == 0, ROOT).otherwise(F.md5(F.concat_ws(",", F.col("d").cast("string"), *[s.cast("string") for s in sums])))
-    rows = rows.withColumn("key", key)
-    return rows.select("conv", "d", "chars", "last", "key", F.lag("key").over(w).alias("parent"))
+        halves |= {f"a{seed}": F.shiftrightunsigned(hashed, 32), f"b{seed}": hashed.bitwiseAND(0xFFFFFFFF)}
+    rows = scan(rows, ["conv"], ["d"], F.floor(F.col("d") / SLICE), {f"sum_{n}": h for n, h in halves.items()})
+
+    def key(d, sums):
+        return F.when(d == 0, ROOT).otherwise(F.md5(F.concat_ws(",", d.cast("string"), *[s.cast("string") for s in sums])))
+
+    own = key(F.col("d"), [F.col(f"sum_{n}") for n in halves])
+    parent = F.when(F.col("d") > 0, key(F.col("d") - 1, [F.col(f"sum_{n}") - h for n, h in halves.items()]))
+    return rows.select("conv", "d", "chars", "last", own.alias("key"), parent.alias("parent"))
 
 
 def merged(rows: DataFrame, partitions: int) -> DataFrame:
@@ -136,7 +142,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     has no first one and that has no turns after its own first h has none: it is a member of the root alone. An empty table gives an empty one.
     """
     spark = conversations.sparkSession
-    rows = materialize(paths(rebuilt(turns(conversations))), "paths")
+    rows = materialize(paths(materialize(rebuilt(turns(conversations)), "rebuilt")), "paths")
     nodes = merged(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
     of_nodes = nodes.select("key", "parent", "conv", "d", "n", *none("long", "n_children", "n_leaves", "saved"), *none("string", "ends_sha256"))

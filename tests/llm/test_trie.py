@@ -63,6 +63,13 @@ def test_copies_and_deep_paths(spark):
     assert got(prefix_trie.prefix_trie(spark.createDataFrame(rows, TURN))) == slow(rows)
 
 
+def test_long_conversations_are_cut(spark, monkeypatch):
+    """Slices of three turns give the same trie."""
+    monkeypatch.setattr(prefix_trie, "SLICE", 3)
+    rows = talk(300, 40) + talk(301, 40) + talk(302, 17) + talk(400, 9, "y") + [(400, None, "user", "null first"), (400, None, None, "null first")]
+    assert got(prefix_trie.prefix_trie(spark.createDataFrame(rows, TURN))) == slow(rows)
+
+
 @pytest.mark.parametrize("partitions", [1, 5, 33, 1100])
 def test_merges(spark, partitions):
     rows = [(c, d, 2, c == d, f"k{d % 3}-{d}", f"k{d - 1}" if d else None) for c in range(50) for d in range(c % 7)]
