@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scans
+from . import quantiles, scans
 
 
 def order(tape: DataFrame) -> list[str]:
@@ -102,10 +102,13 @@ def gaps(tape: DataFrame) -> DataFrame:
 
 def impact(tape: DataFrame, floor: float = 0.01, least: int = 10) -> DataFrame:
     """Kyle's lambda proxy and Roll's spread per mint."""
-    rows = tape.withColumn("_d", F.col("price") - F.lag("price").over(by_time(tape))).withColumn("_l", F.abs(F.ln(F.try_divide("price", F.lag("price").over(by_time(tape))))) / F.greatest("volume", F.lit(floor)))
-    rows = rows.withColumn("_e", F.lag("_d").over(by_time(tape)))
+    rows = running(tape, before={"_was": F.col("price")})
+    rows = rows.withColumn("_d", F.col("price") - F.col("_was")).withColumn("_l", F.abs(F.ln(F.try_divide("price", "_was"))) / F.greatest("volume", F.lit(floor)))
+    rows = running(rows, before={"_e": F.col("_d")})
     cov = F.covar_samp("_d", "_e")
-    return rows.groupBy("mint").agg(F.when(F.count("*") >= least, F.median("_l")).alias("kyle_lambda"), F.when(cov < 0, 2 * F.sqrt(-cov)).otherwise(0.0).alias("roll_spread"))
+    spread = rows.groupBy("mint").agg(F.count("*").alias("_n"), F.when(cov < 0, 2 * F.sqrt(-cov)).otherwise(0.0).alias("roll_spread"))
+    made = spread.join(quantiles.exact(rows, ["mint"], "_l", {"_middle": 0.5}), "mint", "left")
+    return made.select("mint", F.when(F.col("_n") >= least, F.col("_middle")).alias("kyle_lambda"), "roll_spread")
 
 
 def vpin(tape: DataFrame, seconds: float, least: int = 3) -> DataFrame:
@@ -122,9 +125,9 @@ def flow(tape: DataFrame) -> DataFrame:
     share = buyer.groupBy("mint").agg(F.sum(F.col("_s") * F.col("_s")).alias("hhi"), F.sum(F.when(F.col("_r") <= 3, F.col("_s"))).alias("top3"))
     side = F.when(F.col("is_buy") == 1, F.col("volume")).otherwise(-F.col("volume"))
     total = tape.groupBy("mint").agg(
-        F.try_divide(F.sum(side), F.sum("volume")).alias("ofi"), F.avg("volume").alias("mean_size"), F.stddev_pop("volume").alias("std_size"), F.percentile("volume", 0.9).alias("p90"),
-        F.percentile("volume", 0.1).alias("p10"), F.count_distinct("trader").alias("unique_traders"),
+        F.try_divide(F.sum(side), F.sum("volume")).alias("ofi"), F.avg("volume").alias("mean_size"), F.stddev_pop("volume").alias("std_size"), F.count_distinct("trader").alias("unique_traders"),
     )
+    total = total.join(quantiles.exact(tape, ["mint"], "volume", {"p90": 0.9, "p10": 0.1}), "mint", "left")
     return total.join(share, "mint", "left").fillna({"hhi": 1.0, "top3": 1.0})
 
 

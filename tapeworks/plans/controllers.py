@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import book, controllers, indicators, tape
+from ..operators import book, controllers, indicators, quantiles, tape
 from ..sources import views as v
 from .market import BARS, HOUR, _bars, rounded
 from .registry import query
@@ -156,15 +156,16 @@ def top_shares(spark, d):
 
 @query("size_moments", f"with {v.SWAPS}, q as (select *, avg(volume) over (partition by mint) m, stddev_pop(volume) over (partition by mint) s from swaps_v) select mint, round(avg(volume), 6) mean, round(any_value(s) / any_value(m), 6) cv, round(quantile_cont(volume, 0.95), 6) p95, round(avg(pow(volume - m, 3)) / pow(any_value(s), 3), 5) skew from q group by mint")
 def size_moments(spark, d):
-    return v.swaps(spark, d).groupBy("mint").agg(
-        F.round(F.avg("volume"), 6).alias("mean"), F.round(F.stddev_pop("volume") / F.avg("volume"), 6).alias("cv"), F.round(F.percentile("volume", 0.95), 6).alias("p95"), F.round(F.skewness("volume"), 5).alias("skew")
-    )
+    t = v.swaps(spark, d)
+    rows = t.groupBy("mint").agg(F.round(F.avg("volume"), 6).alias("mean"), F.round(F.stddev_pop("volume") / F.avg("volume"), 6).alias("cv"), F.round(F.skewness("volume"), 5).alias("skew"))
+    return rounded(rows.join(quantiles.exact(t, ["mint"], "volume", {"p95": 0.95}), "mint", "left"), 6, "p95")
 
 
 @query("arrival_gaps", f"with {v.SWAPS}, r as (select mint, t - lag(t) over (partition by mint order by t) gap from swaps_v) select mint, count(*) gaps, round(min(gap), 4) shortest, round(median(gap), 4) middle, round(max(gap), 4) longest from r where gap > 0 group by mint")
 def arrival_gaps(spark, d):
     r = tape.gaps(v.swaps(spark, d)).where("gap > 0")
-    return r.groupBy("mint").agg(F.count("*").alias("gaps"), F.round(F.min("gap"), 4).alias("shortest"), F.round(F.median("gap"), 4).alias("middle"), F.round(F.max("gap"), 4).alias("longest"))
+    rows = r.groupBy("mint").agg(F.count("*").alias("gaps"), F.round(F.min("gap"), 4).alias("shortest"), F.round(F.max("gap"), 4).alias("longest"))
+    return rounded(rows.join(quantiles.exact(r, ["mint"], "gap", {"middle": 0.5}), "mint"), 4, "middle")
 
 
 @query("grid_scan", f"with {v.SWAPS}, g as (select mint, unnest(generate_series((floor(min(t) / {24 * HOUR}) * {24 * HOUR})::bigint, max(t)::bigint, {24 * HOUR})) slot from swaps_v group by mint), n as (select mint, (floor(t / {24 * HOUR}) * {24 * HOUR})::bigint slot, count(*) n from swaps_v group by all) select mint, slot, coalesce(n, 0) swaps from g left join n using (mint, slot)")
