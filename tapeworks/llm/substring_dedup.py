@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import compare, deal
-from .common import materialize, numbered, private, slices, with_column
+from .common import materialize, numbered, private, with_column
+from .common import slices as small
 from .components import components
 from .words import WORD_BYTES, encode, kgrams, mix, word_hashes
 
@@ -43,6 +44,13 @@ _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ONE = np.uint64(1)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """common.slices, after each of which what Arrow has freed goes back to the system: two workers and their JVM share an executor's memory."""
+    for batch in small(batches, rows):
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 class Words:
     """Words of some texts as arrays: hash, text, number of the line block, code points of both ends."""
 
