@@ -83,23 +83,43 @@ def _greatest(x: Column, window, k: int) -> list[tuple[str, Column]]:
     return steps[:-1]
 
 
+def _same(pairs: list[tuple[str, str]]) -> Column:
+    """Equality of columns of two tables in which a null equals a null."""
+    same = F.lit(True)
+    for a, b in pairs:
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return same
+
+
 def supported(rows: DataFrame, keys: list[str], t: str, price: str, seconds: float, share: float, least: int, name: str) -> DataFrame:
-    """Whether at least `least` rows of the keys within `seconds` (itself included) have `share` of a row's price or more.
+    """Whether at least `least` rows of the keys within `seconds` (itself included) have `share` (not negative) of a row's price or more.
 
-    The rows around a row are its whole block, the end of the block before and the beginning of the next one; of each only the `least`
-    greatest prices matter, which running maxima keep. A row without t or price is not supported.
+    A block of `seconds` is within reach of each of its rows, so its `least` greatest prices settle all rows that these support. Only the
+    open rest (of positive prices fewer than `least` rows a block) looks into the blocks beside: copies go there, and running maxima of the
+    `least` greatest prices tell what they find. A row without t or price is not supported.
     """
-    copies = _copies(rows.where(F.col(t).isNotNull()), t, seconds, {1: F.col(t) + seconds, -1: F.col(t) - seconds})
-    here, own = Window.partitionBy(*keys, "_block"), F.when(F.col("_side") == 0, F.col(price))
-    enough = lambda c: F.when(F.col(c) >= share * F.col(price), 1).otherwise(0)
-    for way, order in (("up", here.orderBy("_at", F.abs("_side"))), ("down", here.orderBy(F.desc("_at"), F.abs("_side")))):
-        for step, column in _greatest(own, order, least):
-            copies = copies.withColumn(step, column)
-        tops = [f"_m{j}" for j in range(least)]
-        if way == "up":
-            copies = copies.withColumns({f"_all{j}": F.max(m).over(here) for j, m in enumerate(tops)})
-            copies = copies.withColumn("_up", sum(map(enough, tops)))
-    found = F.when(F.col("_side") == 0, sum(enough(f"_all{j}") for j in range(least))).when(F.col("_side") == 1, F.col("_up")).otherwise(sum(map(enough, tops)))
-    made = copies.withColumn("_n", found).groupBy("_id").agg(F.sum("_n").alias("_n"), F.max("_row").alias("_row"))
-    made = made.select("_row.*", (F.col("_n") >= least).alias(name))
-    return made.unionByName(rows.where(F.col(t).isNull()).withColumn(name, F.lit(False)))
+    known = F.col(t).isNotNull() & F.col(price).isNotNull()
+    cut = rows.where(known).withColumn("_block", F.floor(F.col(t) / seconds))
+    cell, tops, all_ = [*keys, "_block"], [f"_m{j}" for j in range(least)], [f"_all{j}" for j in range(least)]
+    enough = lambda c, of=price: F.when(F.col(c) >= share * F.col(of), 1).otherwise(0)
+    best = cut.select(*cell, F.col(price).alias("_p")).withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("_p")))).where(F.col("_r") <= least)
+    best = best.groupBy(*[F.col(c).alias(f"_k_{c}") for c in cell]).agg(*[F.max(F.when(F.col("_r") == j + 1, F.col("_p"))).alias(c) for j, c in enumerate(all_)])
+    own, here = sum(enough(c) for c in all_), _same([(c, f"_k_{c}") for c in cell])
+    closed = cut.join(best, here).where(own >= least).select(*rows.columns, F.lit(True).alias(name))
+    # a block has open rows if its greatest price is one
+    unsettled = best.where(sum(enough(c, all_[0]) for c in all_) < least)
+    open_ = cut.join(unsettled, here).where(own < least).withColumn("_row", F.struct(*rows.columns)).withColumn("_id", F.monotonically_increasing_id()).withColumn("_own", own)
+    one = lambda side: F.struct((F.col("_block") + side).alias("block"), F.lit(side).alias("side"), (F.col(t) + side * seconds).cast("double").alias("at"))
+    copies = open_.withColumn("_c", F.explode(F.array(one(1), one(-1))))
+    copies = copies.select(*keys, F.col("_c.block").alias("_block"), F.col("_c.side").alias("_side"), F.col("_c.at").alias("_at"), F.col(price).alias("_p"), "_id", "_own", "_row")
+    beside = unsettled.select(*[f"_k_{k}" for k in keys], F.explode(F.array(F.col("_k__block") - 1, F.col("_k__block") + 1)).alias("_k__block")).distinct()
+    near = cut.join(beside, here, "left_semi").select(*cell, F.lit(0).alias("_side"), F.col(t).cast("double").alias("_at"), F.col(price).alias("_p"))
+    items = near.unionByName(copies, allowMissingColumns=True)
+    inside, seen = Window.partitionBy(*cell), F.when(F.col("_side") == 0, F.col("_p"))
+    for way, order in (("_up", inside.orderBy("_at", F.abs("_side"))), ("_down", inside.orderBy(F.desc("_at"), F.abs("_side")))):
+        for step, column in _greatest(seen, order, least):
+            items = items.withColumn(step, column)
+        items = items.withColumn(way, sum(enough(m, "_p") for m in tops))
+    found = F.when(F.col("_side") == 1, F.col("_up")).otherwise(F.col("_down"))
+    made = items.where(F.col("_side") != 0).groupBy("_id").agg((F.sum(found) + F.first("_own") >= least).alias(name), F.first("_row").alias("_row")).select("_row.*", name)
+    return closed.unionByName(made).unionByName(rows.where(~known).withColumn(name, F.lit(False)))

@@ -115,3 +115,27 @@ def test_ties_are_ordered_by_number(spark):
         made = [tape.bars(df, 10).orderBy("bar_start"), tape.recent_median(df), tape.short_trend(df, -0.1, 0.1), tape.streaks(df), tape.impact(df), tape.log_returns(df).agg(F.round(F.sum("log_return"), 9), F.round(F.sum(F.col("log_return") * F.col("seq")), 6))]
         seen.add(repr([[tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in m.collect()] for m in made]))
     assert len(seen) == 1
+
+
+def test_supported_copies_open_rows_only(spark):
+    """A task keeps no copies of rows that their own block settles: the windows get the open ones and the blocks beside them."""
+    rows = [(1, float(t), 1.0 + t % 7 / 10, t) for t in range(400)] + [(1, 409.0, 99.0, 1000), (1, 411.0, 90.0, 1001), (1, 419.0, 80.0, 1002), (1, 430.0, -2.0, 1003), (1, 431.0, -1.0, 1004), (1, 432.0, -1.5, 1005)]
+    df = spark.createDataFrame(rows, "mint long, t double, price double, seq long")
+    got = tape.confirmed(df, 10)
+    near = {r[3]: sum(1 for o in rows if abs(o[1] - r[1]) <= 10 and o[2] >= 0.8 * r[2]) >= 3 for r in rows}
+    assert {r.seq: r.confirmed for r in got.collect()} == near and near[1000] and not near[1003]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan  # of settled blocks no more than the greatest prices are sorted
+
+
+def test_peak_since_is_not_bound_to_a_task_a_mint(spark):
+    """The swaps meet their mint's time without an exchange by mint, after which a task would hold all of a mint's blocks."""
+    from tapeworks.plans import registry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["peak_since"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.split("\n") if "Join [mint#" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
