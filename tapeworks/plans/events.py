@@ -138,7 +138,7 @@ def peak_since(spark, d):
     """The highest confirmed price since ten days after a mint's first swap."""
     t = v.swaps(spark, d)
     since = t.groupBy("mint").agg((F.min("t") + 10 * DAY).alias("since"))
-    return tape.peak_since(t.join(since, "mint"), F.col("since"), 3600)
+    return tape.peak_since(t.join(F.broadcast(since), "mint"), F.col("since"), 3600)  # ten mints; a join by shuffle would put all swaps into ten tasks
 
 
 @query(
