@@ -69,7 +69,7 @@ IDLE, EVICT = DAY, 2 * DAY
 def stream_status(spark, d):
     """When each trader was running, idle and forgotten, told by timers."""
     fold = folds.Liveness("trader", "ms", "price", IDLE, EVICT)
-    return _in_order(_tape(spark, d), "trader", ["t", "seq"], fold, "trader long, " + fold.schema)
+    return _in_order(_tape(spark, d).select("trader", "price", "t", "seq", "ms"), "trader", ["t", "seq"], fold, "trader long, " + fold.schema)
 
 
 @query(
@@ -84,7 +84,7 @@ def stream_status(spark, d):
 )
 def changes_in_order(spark, d):
     fold = folds.Emitted("mint", "ms", "t", "price", folds.changed(0.3))
-    return _in_order(_tape(spark, d), "mint", ["t", "price", "seq"], fold, "mint long, t double, price double")
+    return _in_order(_tape(spark, d).select("mint", "price", "t", "seq", "ms"), "mint", ["t", "price", "seq"], fold, "mint long, t double, price double")
 
 
 @query(
@@ -100,7 +100,7 @@ def changes_in_order(spark, d):
 def throttled_in_order(spark, d):
     """At most one row a day of each mint and five in all, counted in the stream's state."""
     fold = folds.Emitted("mint", "ms", "t", "price", folds.apart(DAY), most=5)
-    return _in_order(_tape(spark, d), "mint", ["t", "price", "seq"], fold, "mint long, t double, price double")
+    return _in_order(_tape(spark, d).select("mint", "price", "t", "seq", "ms"), "mint", ["t", "price", "seq"], fold, "mint long, t double, price double")
 
 
 @query(

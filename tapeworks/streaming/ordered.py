@@ -1,6 +1,6 @@
 """Event-time operators on streams: rows released in order by the watermark, timers, state that ends, late rows apart.
 
-Rows of a key wait in state until the watermark is past their time; then a fold sees them in event order, however the
+Rows wait in state, by groups of keys and slices of time, until the watermark is past their time; then a fold sees them in event order, however the
 input was cut into batches. A row that arrives behind the watermark is late: it does not reach the fold, but comes out
 with `late` set. A fold may ask for a timer and may end its key's state. Spark keeps the state (RocksDB) and
 restores it from the query's checkpoint after a failure.
@@ -24,6 +24,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The key of rows that have none.
 NO_KEY = ""
+#: Groups that the keys of a stream are dealt into, milliseconds of a slice of waiting rows, rows that a worker gathers before it passes them on.
+GROUPS, SLICE_MS, CHUNK = 1024, 6 * 3_600_000, 20_000
 
 
 class Fold:
@@ -45,58 +47,102 @@ class Fold:
 
 
 class _Ordered(StatefulProcessor):
-    """A key's rows wait in a list, with a timer at the first one's time; a release folds all that the watermark has passed."""
+    """The rows of a group of keys wait in chunks by slice of time, with a timer at the first one's; a release folds all that the watermark has passed, slice by slice."""
 
-    def __init__(self, fold: Fold, time: str, ties: list[str], out: list[str]):
-        self.fold, self.time, self.ties, self.out = fold, time, ties, out
+    def __init__(self, fold: Fold, key: str, time: str, ties: list[str], out: list[str], slice_ms: int):
+        self.fold, self.key, self.time, self.ties, self.out, self.width = fold, key, time, ties, out, slice_ms
 
     def init(self, handle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "ms long, row string")  # rows as JSON
-        self.state = handle.getValueState("state", "value string, due long")
+        self.handle, self.passed = handle, {}
+        self.held = handle.getMapState("held", "slice long, chunk long", "rows string")  # JSON arrays
+        self.index = handle.getValueState("index", "value string")  # of each slice the chunks' number and the first row's time, as JSON
+        self.state = handle.getValueState("state", "value string")  # of each key the fold's state and its time, as JSON
 
     def frame(self, rows: list[tuple], late: bool) -> pd.DataFrame:
         return pd.DataFrame([(*r, late) for r in rows], columns=[*self.out, "late"]).astype(object)
 
+    def add(self, index: dict, slices: dict[int, list[tuple[int, str]]]) -> None:
+        """A chunk of rows for each slice; rows are (ms, JSON)."""
+        for i, rows in slices.items():
+            n, first = index.get(str(i), (0, None))
+            self.held.updateValue((i, n), ("[" + ",".join(r for _, r in rows) + "]",))
+            index[str(i)] = (n + 1, min([ms for ms, _ in rows] + ([] if first is None else [first])))
+        slices.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark, first = timerValues.getCurrentWatermarkInMs(), None
         if key[0] == NO_KEY:
             return
+        mark, first, index, slices, n = timerValues.getCurrentWatermarkInMs(), None, None, {}, 0
         for frame in rows:
-            all_rows = list(zip(frame["ms"].tolist(), frame["row"].tolist()))
-            wait = [r for r in all_rows if r[0] > mark]
-            if len(wait) < len(all_rows):
-                yield self.frame([tuple(json.loads(r).get(c) for c in self.out) for ms, r in all_rows if ms <= mark], True)
-            if wait:
-                self.held.appendList(wait)
-                first = min([ms for ms, _ in wait] + ([] if first is None else [first]))
+            late = []
+            for ms, row in zip(frame["ms"].tolist(), frame["row"].tolist()):
+                if ms <= mark:
+                    late.append(row)
+                else:
+                    slices.setdefault(ms // self.width, []).append((ms, row))
+                    first, n = ms if first is None else min(first, ms), n + 1
+            if late:
+                yield self.frame([tuple(json.loads(r).get(c) for c in self.out) for r in late], True)
+            if n >= CHUNK:
+                index, n = self.indexed() if index is None else index, 0
+                self.add(index, slices)
         if first is not None:
+            index = self.indexed() if index is None else index
+            self.add(index, slices)
+            self.index.update((json.dumps(index),))
             self.handle.registerTimer(first)
 
+    def indexed(self) -> dict:
+        return json.loads(self.index.get()[0]) if self.index.exists() else {}
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A timer is for rows, for the state's own time, or (after an earlier release) no longer for anything."""
+        """The first timer that a watermark lets out does the work of all; one of an earlier release may no longer be for anything."""
         mark = timerValues.getCurrentWatermarkInMs()
-        value, due = self.state.get() if self.state.exists() else (None, None)
-        state, out, before = json.loads(value) if value else None, [], value
-        rows = list(self.held.get()) if self.held.exists() else []
-        ready, rest = [json.loads(r) for ms, r in rows if ms <= mark], [r for r in rows if r[0] > mark]
-        for r in sorted(ready, key=lambda r: [r[self.time], *(r[c] for c in self.ties)]):
-            state, due = self.run_down(state, due, r[self.time], out)
-            state, more = self.fold.row(state, r)
-            out += more
-            due = None if state is None else self.fold.due(state)
-        state, due = self.run_down(state, due, mark, out)
-        if ready and rest:
-            self.held.put(rest)
-            self.handle.registerTimer(min(ms for ms, _ in rest))
+        if self.passed.get(key[0]) == mark:
+            return
+        self.passed[key[0]] = mark
+        index, out = self.indexed(), []
+        before = self.state.get()[0] if self.state.exists() else None
+        states = json.loads(before) if before else {}
+        ready = sorted(int(i) for i, (_, first) in index.items() if first <= mark)
+        for i in ready:
+            rows, rest = [], []
+            for n in range(index.pop(str(i))[0]):
+                for r in json.loads(self.held.getValue((i, n))[0]):
+                    (rows if r[self.time] <= mark else rest).append(r)
+                self.held.removeKey((i, n))
+            for r in sorted(rows, key=lambda r: [r[self.time], *(r[c] for c in self.ties)]):
+                name = str(r[self.key])
+                state, due = self.run_down(*states.get(name, (None, None)), r[self.time], out)
+                state, more = self.fold.row(state, r)
+                out += more
+                if state is None:
+                    states.pop(name, None)
+                else:
+                    states[name] = (state, self.fold.due(state))
+                if len(out) >= CHUNK:
+                    yield self.frame(out, False)
+                    out = []
+            if rest:
+                self.add(index, {i: [(r[self.time], json.dumps(r)) for r in rest]})
+        for name in [k for k, (_, due) in states.items() if due is not None and due <= mark]:
+            state, due = self.run_down(*states[name], mark, out)
+            if state is None:
+                del states[name]
+            else:
+                states[name] = (state, due)
+        if ready and index:
+            self.index.update((json.dumps(index),))
         elif ready:
-            self.held.clear()
-        if state is not None:
-            self.state.update((json.dumps(state), due))
-            if due is not None:
-                self.handle.registerTimer(due)
-        elif before:
+            self.index.clear()
+        after = json.dumps(states) if states else None
+        if after and after != before:
+            self.state.update((after,))
+        elif before and not after:
             self.state.clear()
+        next_ = [first for _, first in index.values()] + [due for _, due in states.values() if due is not None]
+        if next_:
+            self.handle.registerTimer(min(next_))
         if out:
             yield self.frame(out, False)
 
@@ -112,20 +158,23 @@ class _Ordered(StatefulProcessor):
         pass
 
 
-def ordered(stream: DataFrame, key: str, ms: str, lateness: str, ties: list[str], fold: Fold, schema: str) -> DataFrame:
+def ordered(stream: DataFrame, key: str, ms: str, lateness: str, ties: list[str], fold: Fold, schema: str, groups: int = GROUPS, slice_ms: int = SLICE_MS) -> DataFrame:
     """What `fold` emits (columns of `schema`, and late = false), and late rows (their columns of the same names, late = true).
 
     ms: a long column, milliseconds since 1970. Rows of one millisecond go in the order of `ties`, which may not be null; other nulls are left out
     of a row's dict. A row is late if the watermark, `lateness` behind the newest row of earlier batches, has reached it. Rows without a
     key or time only move the watermark.
+
+    Spark's state is that of `groups` groups of keys, by hash, so that keys of few rows don't each cost calls of the state; a worker holds the
+    rows of a group's slice of `slice_ms` at once, and the states of a group's keys.
     """
     marked = stream.withColumn("_ts", F.timestamp_millis(ms)).withWatermark("_ts", lateness)
-    named = F.when(F.col("_ts").isNotNull(), F.col(key).cast("string"))
+    group = F.when(F.col("_ts").isNotNull() & F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(groups)).cast("string"))
     # the mark's column itself stays behind, so that Spark gives late rows to the operator; JSON keeps integers beside nulls
-    rows = marked.select(F.coalesce(named, F.lit(NO_KEY)).alias("key"), F.coalesce(F.unix_millis("_ts"), F.lit(0)).alias("ms"), F.to_json(F.struct(*stream.columns)).alias("row"))
+    rows = marked.select(F.coalesce(group, F.lit(NO_KEY)).alias("key"), F.coalesce(F.unix_millis("_ts"), F.lit(0)).alias("ms"), F.to_json(F.struct(*stream.columns)).alias("row"))
     kinds = T._parse_datatype_string(schema)
     made = T.StructType([*kinds.fields, T.StructField("late", T.BooleanType())])
-    return rows.groupBy("key").transformWithStateInPandas(_Ordered(fold, ms, ties, [f.name for f in kinds.fields]), made, "Append", "EventTime")
+    return rows.groupBy("key").transformWithStateInPandas(_Ordered(fold, key, ms, ties, [f.name for f in kinds.fields], slice_ms), made, "Append", "EventTime")
 
 
 def arrivals(rows: DataFrame, ms: str, number: Column, lateness_ms: int, batches: int) -> list[DataFrame]:
@@ -167,5 +216,9 @@ def run_in_batches(parts: list[DataFrame], build: Callable[[DataFrame], DataFram
 
 
 def held_state(spark: SparkSession, folder: str, name: str = "state") -> DataFrame:
-    """The keys that a stream's state still has."""
-    return spark.read.format("statestore").option("stateVarName", name).load(folder)
+    """The keys that a stream's state still has; of ordered() those that a fold has a state of."""
+    rows = spark.read.format("statestore").option("stateVarName", name).load(folder)
+    if name != "state":
+        return rows
+    keys = F.explode(F.json_object_keys("value.value"))
+    return rows.select(keys.alias("key")).select(F.struct("key").alias("key"))

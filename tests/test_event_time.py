@@ -105,3 +105,81 @@ def test_orders_in_shuffled_batches(spark):
         seen.setdefault(r.order_id, []).append((r.status, r.fills, r.filled))
     assert seen == {1: [("OPEN", 0, 0.0), ("CANCELLED", 0, 0.0), ("PARTIALLY_FILLED", 1, 4.0), ("FILLED", 2, 6.0)], 2: [("OPEN", 0, 0.0), ("CANCELLED", 0, 0.0), ("FAILED", 0, 0.0)]}
     assert held_state(spark, state).count() == 0
+
+
+def test_groups_of_keys_and_slices_of_time(spark):
+    """Many keys share a group and rows wait in slices that the watermark cuts; neither changes what comes out."""
+    pick = random.Random(8)
+    rows = [(k, 1000 + pick.randrange(400_000), pick.random(), i) for i, k in enumerate([pick.randrange(40) for _ in range(600)])]
+    table = spark.createDataFrame(rows, ROW)
+    fold = folds.Liveness("k", "ms", "x", 10, 30)
+    for groups, width in ((1, 7000), (3, 10**9)):
+        made, state = run_in_batches(arrivals(table, "ms", table.seq, 60_000, 3), lambda s: ordered(s, "k", "ms", "60 seconds", ["seq"], fold, "k long, " + fold.schema, groups, width))
+        assert sorted((r.k, r.status, r.at_ms, r.rows) for r in made.where("not late").collect()) == slow_status(rows, 10_000, 30_000) and made.where("late").count() == 0
+        assert held_state(spark, state).count() == 0 and held_state(spark, state, "index").count() == 0
+
+
+def test_a_release_reads_one_slice_at_a_time():
+    """A worker never holds the rows of a hot key's other slices, and a group of many keys takes few calls of the state."""
+    import json
+
+    import pandas as pd
+
+    from tapeworks.streaming import ordered as streams
+
+    class Value:
+        def __init__(self, log):
+            self.value, self.log = None, log
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.log.append("put")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Map(dict):
+        most = 0
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def getValue(self, key):
+            self.most = max(self.most, len(json.loads(self[key][0])))
+            return self[key]
+
+        def removeKey(self, key):
+            del self[key]
+
+    class Handle:
+        def __init__(self):
+            self.log, self.map, self.timers = [], Map(), []
+
+        def getMapState(self, *_):
+            return self.map
+
+        def getValueState(self, *_):
+            return Value(self.log)
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Times:
+        def __init__(self, mark):
+            self.getCurrentWatermarkInMs = lambda: mark
+
+    handle, made = Handle(), streams._Ordered(folds.Liveness("k", "ms", "x", 10, 30), "k", "ms", ["seq"], ["k", "status", "at_ms", "last_ms", "last_value", "rows"], 1000)
+    made.init(handle)
+    rows = [{"k": i % 50, "ms": 10 * i, "x": 1.0, "seq": i} for i in range(1000)]
+    random.Random(1).shuffle(rows)
+    frame = pd.DataFrame({"ms": [r["ms"] for r in rows], "row": [json.dumps(r) for r in rows]})
+    assert not list(made.handleInputRows(("7",), iter([frame]), Times(-1)))
+    assert len(handle.map) == 10 and handle.timers == [0]
+    out = pd.concat(list(made.handleExpiredTimer(("7",), Times(9_999), None)))
+    assert len(out) == 50 and handle.map.most == 100 and not handle.map and len(handle.log) == 2
