@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import scan
+from .scans import along, scan, slices
 
 
-def running(trades: DataFrame, keys: list[str], order: list[str], slice_: Column) -> DataFrame:
+def running(trades: DataFrame, keys: list[str], order: list[str], slice_: Column, keep: bool = False) -> DataFrame:
     """Running volumes, average prices, realised and unrealised result after each trade.
 
     Average cost; while nothing was bought the realised part is 0. The mark is the trade's own price; net_pnl takes off
-    the trade's fee, net_pnl_all_fees all fees so far. slice_ cuts a key's order into parts that fit a task (see scans.scan).
+    the trade's fee, net_pnl_all_fees all fees so far. slice_ cuts a key's order into parts that fit a task (see scans.scan, keep too).
     """
     sums = {}
     for side in ("BUY", "SELL"):
@@ -20,7 +20,7 @@ def running(trades: DataFrame, keys: list[str], order: list[str], slice_: Column
         name = side.lower()
         sums |= {f"{name}_volume": F.when(own, F.col("amount")).otherwise(0.0), f"{name}_quote": F.when(own, F.col("price") * F.col("amount")).otherwise(0.0)}
     sums |= {"cum_fee": F.col("fee"), "cum_volume": F.col("price") * F.col("amount")}
-    return _results(scan(trades, keys, order, slice_, sums))
+    return _results(scan(trades, keys, order, slice_, sums, keep=keep))
 
 
 def _results(cols: DataFrame) -> DataFrame:
@@ -63,20 +63,43 @@ def unrealized(mark: Column) -> Column:
 
 
 def drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, limit: float, slice_: Column) -> DataFrame:
-    """Greatest fall of the running result from its peak (at least 0), and whether it passed the limit."""
-    fall = scan(rows, keys, order, slice_, peaks={"_peak": F.greatest(F.col(pnl), F.lit(0.0))}).withColumn("_fall", F.col("_peak") - F.col(pnl))
-    return fall.groupBy(*keys).agg(F.max("_fall").alias("max_drawdown")).withColumn("tripped", F.col("max_drawdown") > limit)
+    """Greatest fall of the running result from its peak (at least 0), and whether it passed the limit.
+
+    The peak lies in the fall's own slice or before it, so slices give their greatest fall, highest and lowest result. Rows that
+    running() made with `keep` are not dealt again.
+    """
+    cut = rows if "_slice" in rows.columns else slices(rows, keys, slice_)
+    high = F.greatest(F.col(pnl), F.lit(0.0))
+    so_far = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = cut.withColumn("_fall", F.max(high).over(so_far) - F.col(pnl)).groupBy("_slice").agg(F.max("_fall").alias("_fall"), F.max(high).alias("_high"), F.min(pnl).alias("_low"))
+    peak = F.max("_high").over(along(keys).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("_fall", F.greatest("_fall", peak - F.col("_low")))
+    of = [F.col("_slice")[f"k{i}"].alias(k) for i, k in enumerate(keys)]
+    return ends.groupBy(*of).agg(F.max("_fall").alias("max_drawdown")).withColumn("tripped", F.col("max_drawdown") > limit)
 
 
 def global_drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, limit: float, slice_: Column, ts: str = "ts") -> DataFrame:
     """One row: the same for the sum of all keys' newest results, and when it first passed the limit (null if never).
 
     order must be complete over all rows. Every row changes the sum by its key's result less the one before, so the sum is a scan without a key.
+    The steps are dealt by slice once; a slice's sum and highest partial sum say where the next ones start.
     """
-    steps = scan(rows, keys, order, slice_, before={"_was": F.col(pnl)})
-    steps = steps.select(*order, slice_.alias("_part"), (F.col(pnl) - F.coalesce("_was", F.lit(0.0))).alias("_step"))
-    total = scan(steps, [], order, F.col("_part"), sums={"_pnl": F.col("_step")})
-    fall = scan(total, [], order, F.col("_part"), peaks={"_peak": F.greatest(F.col("_pnl"), F.lit(0.0))}).withColumn("_fall", F.col("_peak") - F.col("_pnl"))
+    cut = rows if "_slice" in rows.columns else slices(rows, keys, slice_)
+    inside = Window.partitionBy("_slice").orderBy(*order)
+    steps = cut.select(*order, "_slice", F.col(pnl).alias("_now"), F.lag(pnl).over(inside).alias("_was"), F.row_number().over(inside).alias("_n"), F.lead(F.lit(1)).over(inside).isNull().alias("_end"))
+    # a slice's first row follows the last one of its key's slice before
+    lasts = steps.where("_end").select("_slice", F.lag("_now").over(along(keys)).alias("_before"))
+    steps = steps.join(lasts, "_slice", "left")
+    step = F.col("_now") - F.coalesce(F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_was")), F.lit(0.0))
+    total = slices(steps.select(*order, F.coalesce(step, F.lit(0.0)).alias("_step"), F.col("_slice.of").alias("_of")), [], F.col("_of"))
+    so_far = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    total = total.withColumn("_sum", F.sum("_step").over(so_far))
+    total = total.withColumn("_top", F.max("_sum").over(so_far))
+    parts = total.groupBy("_slice").agg(F.sum("_step").alias("_all"), F.max("_sum").alias("_high"))
+    earlier = along([]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_start", F.coalesce(F.sum("_all").over(earlier), F.lit(0.0)))
+    parts = parts.select("_slice", "_start", F.greatest(F.lit(0.0), F.max(F.col("_start") + F.col("_high")).over(earlier)).alias("_peak"))
+    fall = total.join(parts, "_slice").withColumn("_fall", F.greatest(F.col("_peak"), F.col("_start") + F.col("_top")) - F.col("_start") - F.col("_sum"))
     return fall.agg(F.max("_fall").alias("max_drawdown"), F.min(F.when(F.col("_fall") > limit, F.col(ts))).alias("tripped_at")).withColumn("tripped", F.col("tripped_at").isNotNull())
 
 

@@ -16,37 +16,43 @@ from pyspark.sql import functions as F
 NONE: Mapping[str, Column] = {}
 
 
+def slices(rows: DataFrame, keys: list[str], slice_: Column) -> DataFrame:
+    """The rows with `_slice`, their keys' values and slice: one column that windows, totals and joins share, so that rows are dealt once. It is never null."""
+    return rows.withColumn("_slice", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], slice_.alias("of")))
+
+
+def along(keys: list[str]) -> Window:
+    """The slices of each key in their order."""
+    return Window.partitionBy(*[F.col("_slice")[f"k{i}"] for i in range(len(keys))]).orderBy(F.col("_slice"))
+
+
 def scan(
-    rows: DataFrame, keys: list[str], order: list[str], slice_: Column, sums: Mapping[str, Column] = NONE, peaks: Mapping[str, Column] = NONE, before: Mapping[str, Column] = NONE
+    rows: DataFrame, keys: list[str], order: list[str], slice_: Column, sums: Mapping[str, Column] = NONE, peaks: Mapping[str, Column] = NONE, before: Mapping[str, Column] = NONE, keep: bool = False
 ) -> DataFrame:
     """The rows with running sums and maxima (themselves included) and the values of the row before, in `order` within their keys.
 
     slice_ must not fall along the order and be equal for rows that are equal in order[0]. No key (an empty list) means one scan over all rows. A
     sum counts nulls as 0; the value before a key's first row is null. Slices of one key should be few enough for one
-    window partition and their rows few enough for a task; the results do not depend on them.
+    window partition and their rows few enough for a task; the results do not depend on them. `keep` leaves `_slice` (see slices), by which the rows are dealt.
     """
     at = F.struct(*order)
-    cut = rows.withColumn("_slice", slice_)
+    cut = slices(rows, keys, slice_)
     totals = [F.sum(F.coalesce(c, F.lit(0))).alias(f"_s_{n}") for n, c in sums.items()] + [F.max(c).alias(f"_p_{n}") for n, c in peaks.items()]
     totals += [F.max_by(F.struct(c.alias("v")), at).alias(f"_b_{n}") for n, c in before.items()]
-    ends = cut.groupBy(*keys, "_slice").agg(*totals)
-    along = Window.partitionBy(*keys).orderBy("_slice")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy("_slice").agg(*totals)
+    earlier = along(keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = ends.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_of"), *[F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in sums], *[F.max(f"_p_{n}").over(earlier).alias(f"_p_{n}") for n in peaks],
-        *[F.lag(f"_b_{n}").over(along)["v"].alias(f"_b_{n}") for n in before],
+        "_slice", *[F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in sums], *[F.max(f"_p_{n}").over(earlier).alias(f"_p_{n}") for n in peaks],
+        *[F.lag(f"_b_{n}").over(along(keys))["v"].alias(f"_b_{n}") for n in before],
     )
-    same = F.col("_slice").eqNullSafe(F.col("_of"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    inside = Window.partitionBy("_slice").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = [F.sum(F.coalesce(c, F.lit(0))).over(so_far).alias(f"_ls_{n}") for n, c in sums.items()] + [F.max(c).over(so_far).alias(f"_lp_{n}") for n, c in peaks.items()]
     local += [F.lag(F.struct(c.alias("v"))).over(inside).alias(f"_lb_{n}") for n, c in before.items()]
-    made = cut.select("*", *local).join(offsets, same, "left")
+    made = cut.select("*", *local).join(offsets, "_slice", "left")
     out = {n: F.col(f"_ls_{n}") + F.coalesce(F.col(f"_s_{n}"), F.lit(0)) for n in sums} | {n: F.greatest(f"_lp_{n}", f"_p_{n}") for n in peaks}
     out |= {n: F.when(F.col(f"_lb_{n}").isNull(), F.col(f"_b_{n}")).otherwise(F.col(f"_lb_{n}")["v"]) for n in before}
-    return made.select(*rows.columns, *[c.alias(n) for n, c in out.items()])
+    return made.select(*rows.columns, *[c.alias(n) for n, c in out.items()], *["_slice"] * keep)
 
 
 def _copies(rows: DataFrame, t: str, width: float, reach: dict[int, Column]) -> DataFrame:

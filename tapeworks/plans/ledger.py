@@ -171,7 +171,7 @@ def cumulative_fees(spark, d):
 
 @query("max_drawdown", f"with {RUN}, f as (select pair, connector, max(greatest(realized + unrealized - cf, 0)) over (partition by pair, connector order by ts, order_id, line, part, supp, quote rows unbounded preceding) - (realized + unrealized - cf) fall from q) select pair, connector, round(max(fall), 2) max_drawdown, max(fall) > 100000 tripped from f group by pair, connector")
 def max_drawdown(spark, d):
-    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER, v.month("ts"))
+    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER, v.month("ts"), keep=True)
     return performance.drawdown(rows, ["pair", "connector"], v.TRADE_ORDER, "net_pnl_all_fees", 100_000.0, v.month("ts")).withColumn("max_drawdown", F.round("max_drawdown", 2))
 
 
@@ -185,7 +185,7 @@ def max_drawdown(spark, d):
 )
 def global_drawdown(spark, d):
     """The fall of all pairs' results together, and when it would stop the strategy."""
-    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER, v.month("ts"))
+    rows = performance.running(v.trades(spark, d), ["pair", "connector"], v.TRADE_ORDER, v.month("ts"), keep=True)
     return performance.global_drawdown(rows, ["pair", "connector"], v.TRADE_ORDER, "net_pnl_all_fees", 1_000_000.0, v.month("ts")).withColumn("max_drawdown", F.round("max_drawdown", 0))
 
 

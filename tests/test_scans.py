@@ -139,3 +139,41 @@ def test_peak_since_is_not_bound_to_a_task_a_mint(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     joins = [line for line in plan.split("\n") if "Join [mint#" in line]
     assert joins and all("BroadcastHashJoin" in line for line in joins)
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_drawdowns_against_loops(spark, width):
+    """Falls inside slices and across them, one below zero only, nulls in the key; the rows of running() are dealt once."""
+    pick = random.Random(width)
+    rows = [(pick.choice(["a", "a", "b", None]), pick.randrange(60), i, pick.uniform(-50, 40) - 20 * (i % 3)) for i in range(300)]
+    rows += [("c", 5, 900, -7.0), ("c", 50, 901, -9.0)]
+    df = spark.createDataFrame(rows, "k string, ts long, n long, pnl double").repartition(5)
+    want, newest, top, worst, tripped, seen = {}, {}, 0.0, 0.0, None, {}
+    for k, ts, _, x in sorted(rows, key=lambda r: r[1:3]):
+        seen[k] = max(seen.get(k, 0.0), x)
+        want[k] = max(want.get(k, 0.0), seen[k] - x)
+        newest[k] = x
+        top = max(top, sum(newest.values()))
+        worst = max(worst, top - sum(newest.values()))
+        if tripped is None and top - sum(newest.values()) > 90:
+            tripped = ts
+    part = F.floor(F.col("ts") / width)
+    got = performance.drawdown(df, ["k"], ["ts", "n"], "pnl", 90.0, part)
+    assert {r.k: (r.max_drawdown, r.tripped) for r in got.collect()} == {k: (pytest.approx(x), x > 90) for k, x in want.items()}
+    one = performance.global_drawdown(df, ["k"], ["ts", "n"], "pnl", 90.0, part).first()
+    assert (one.max_drawdown, one.tripped_at, one.tripped) == (pytest.approx(worst), tripped, tripped is not None)
+
+
+def test_drawdown_deals_trades_once(spark):
+    """Between the trades and their falls there is one exchange of rows; what else is exchanged are slices."""
+    from tapeworks.plans import registry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.QUERIES["max_drawdown"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    lines = plan.split("\n")
+    windows = [i for i, line in enumerate(lines) if "Window [" in line and "_fall" not in line and "max(" not in line]
+    trades = [line for line in lines if "Exchange hashpartitioning(_slice" in line]
+    assert windows and 1 <= len(trades) <= 3 and not [line for line in lines if "Exchange hashpartitioning(coalesce" in line]
