@@ -47,3 +47,29 @@ def test_a_kind_judges_only_classes_that_it_knows():
     words = [w for i in range(40) for w in prose(30, i).split() if len(w) >= 6]
     formats = secret_scan.Formats({"hex": keys, "word": words[:200], "other": [w * 3 for w in words[:200]]}, {"word": words[200:], "other": []})
     assert formats.judged == {"other"} and not formats.secret("bebepf") and formats.secret(keys[0][::-1])
+
+
+def test_all_values_teach_and_set_the_scores(spark):
+    """Every different credential and token is counted, over any partitions, as by one process; so is every one behind a score to reach."""
+    pick = random.Random(8)
+    texts = [f"{prose(25, 7000 + i)} token={''.join(pick.choice('0123456789ABCDEF') for _ in range(20))} {pick.randrange(10**15, 10**16)}" for i in range(900)]
+    formats = secret_scan.fit(documents(spark, texts + texts[:50]).repartition(5))
+    values = {}
+    for kind, value in {v for t in texts for v in secret_scan.labelled(t)}:
+        values.setdefault(kind, []).append(value)
+    assert len(values["assign"]) == 900 and len(values["word"]) > 3300
+    [(keys, reach)] = formats.kinds
+    for automaton, kind in ((keys, "assign"), *((formats.other[c], c) for c in ("word", "other"))):
+        one = secret_scan.infer(values[kind])
+        assert sum(automaton.ends) == len(values[kind]) and (automaton.next, automaton.seen, automaton.ends) == (one.next, one.seen, one.ends)
+    own = sorted(formats.score(keys, v) for v in values["assign"])
+    chance = sorted(((formats.other["other"].bits_without(v) - keys.bits(v)) / (len(v) + 1) for v in values["other"]), reverse=True)
+    want = max(secret_scan.MARGIN, own[int(secret_scan.QUANTILE * len(own))], chance[int(secret_scan.RATE * len(chance))] + secret_scan.MARGIN)
+    assert want - 0.01 <= reach["other"] <= want and reach["word"] == reach["code"] == float("inf")
+
+
+def test_an_example_is_judged_without_its_own_counts():
+    examples = ["".join(random.Random(i).choice("abc") for _ in range(i % 7)) for i in range(60)] + ["xyz"]
+    whole = secret_scan.infer(examples)
+    assert all(whole.bits_without(t) > whole.bits(t) for t in examples)
+    assert whole.bits_without("xyz") - whole.bits("xyz") > 10
