@@ -77,6 +77,9 @@ def first_events(spark, d):
     return patterns.first_event(_states(spark, d), ["absorption", "breadth"], "persistence")
 
 
+#: Lines that a task of netted_swaps gets.
+LINES = 500_000
+
 LEGS = """legs as (
     select l_orderkey tx, l_linenumber account, case when l_suppkey % 3 = 0 then 'quote' when l_suppkey % 7 = 1 then 'other' else 'base' end mint,
       case when l_linenumber <= 3 then 'C' || o_custkey when l_linenumber <= 5 then 'pool' else 'S' || (l_suppkey % 5) end owner,
@@ -100,10 +103,15 @@ LEGS = """legs as (
   where d <> 0 and quote_amount > 0 and (paid is null or abs(paid) <= 0.01 * quote_amount or sign(paid) <> sign(d))""",
 )
 def netted_swaps(spark, d):
-    """Orders as transactions, their lines as balance changes of the signer, a pool and others: one to many legs."""
-    o, line = v.table(spark, d, "orders"), F.col("l_linenumber")
-    signer = F.concat(F.lit("C"), F.col("o_custkey"))
-    rows = v.table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    """Orders as transactions, their lines as balance changes of the signer, a pool and others: one to many legs.
+
+    The lines are dealt by order once, so many at a time that a task's sorts and sums are of LINES lines, however many there are.
+    """
+    line, signer = F.col("l_linenumber"), F.concat(F.lit("C"), F.col("o_custkey"))
+    lines = v.table(spark, d, "lineitem")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // LINES + 1)
+    lines, o = lines.repartition(tasks, "l_orderkey"), v.table(spark, d, "orders").repartition(tasks, "o_orderkey")
+    rows = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     way = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", -1).otherwise(2)
     legs = rows.select(
         F.col("l_orderkey").alias("tx"), line.alias("account"), F.when(F.col("l_suppkey") % 3 == 0, "quote").when(F.col("l_suppkey") % 7 == 1, "other").otherwise("base").alias("mint"),
@@ -111,7 +119,7 @@ def netted_swaps(spark, d):
         F.when(line % 4 != 0, F.col("l_quantity")).alias("pre"), F.when(line % 6 != 0, F.col("l_quantity") + way * F.round(F.col("l_tax") * 100)).alias("post"),
     )
     move = F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * F.round(F.col("l_discount") * 100).cast("long") * 50_000_000
-    natives = rows.select(F.col("l_orderkey").alias("tx"), line.alias("account"), F.lit(0).cast("long").alias("pre"), move.alias("post"))
+    natives = lines.select(F.col("l_orderkey").alias("tx"), line.alias("account"), F.lit(0).cast("long").alias("pre"), move.alias("post"))
     seconds = F.floor(v.epoch("o_orderdate"))
     transactions = o.select(F.col("o_orderkey").alias("tx"), F.lit("base").alias("base"), signer.alias("signer"), (F.col("o_orderstatus") == "P").alias("failed"), F.when(F.col("o_orderkey") % 11 > 0, seconds).alias("t"))
     return rounded(balances.swaps(transactions, legs, natives, "quote"), 9, "price")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.operators import balances, patterns, tape
+from tapeworks.plans import events, registry
 from tapeworks.sinks import layout, versioned
 
 ROW = "k long, a long, b string, at long"
@@ -84,6 +87,17 @@ def test_netted_swaps(spark):
     assert sorted((r.tx, r.is_buy, r.base_amount, r.quote_amount) for r in got.collect()) == [("buy", 1, 100.0, 5.0), ("coin", 1, 4.0, 8.0), ("moved", 1, 7.0, 14.0), ("sell", 0, 8.0, 2.0)]
 
 
+def test_netted_swaps_deals_more_lines_to_more_tasks(spark, monkeypatch):
+    """A task gets LINES lines or so however many there are, and the swaps stay the same."""
+    sf = "/root/testdata/sf0.01"
+    whole = sorted(tuple(r) for r in registry.QUERIES["netted_swaps"](spark, sf).collect())
+    monkeypatch.setattr(events, "LINES", 3000, raising=False)
+    dealt = registry.QUERIES["netted_swaps"](spark, sf).withColumn("task", F.spark_partition_id()).collect()
+    sizes = Counter(r.task for r in dealt)
+    assert len(sizes) >= 20 and max(sizes.values()) <= 2 * len(dealt) / len(sizes)
+    assert sorted(tuple(r)[:-1] for r in dealt) == whole
+
+
 def test_event_states(spark):
     """A family with absent features passes on those that are there, if they are enough; persistence is told apart."""
     limits = spark.createDataFrame([("x", "a", "high", 1.0), ("y", "a", "low", 1.0), ("z", "p", "high", 0.5)], "feature string, family string, orientation string, threshold double")
